@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.dna import counted_kmer_nodes
-from strandflow.llm import bpe, frequency, leaks, spans
+from strandflow.llm import bpe, frequency, leaks, spans, stuffing
 from strandflow.tables import table
 
 TOKENIZERS = os.environ.get("STRANDFLOW_TOKENIZERS", "/opt/tokenizers")
@@ -60,7 +60,16 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), masks=masks, most_changed=2).where("overlap >= 8")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_share, p3_found, p3_counts, p3_terms, p6_ids, p7_found, p7_overlaps)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of stuffed characters of every document."""
+    return stuffing.page_shares(table(spark, d, "documents")).select("doc_id", F.round("stuffed_share", 6).alias("stuffed_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_share, p3_found, p3_counts, p3_terms, p6_ids, p7_found, p7_overlaps, p8_found, p8_shares)}
 
 _NODES = """
   select distinct node_id, batch_id, least(u, r) kmer, n,

@@ -1,16 +1,22 @@
 """Long spans that stand letter for letter in more than one record: level-wise doubling.
 
-At a base length every window of every record gets a name. Windows whose name occurs in one record
-only are dropped; of the rest, two that lie one length apart join to a window of twice the length,
-named by the pair of their names. So each level only looks at what repeated on the level below it,
-and texts are read for the base level alone. Names are 128-bit fingerprints, so the chance that two
-different windows of ten trillion share one is below 1e-12.
+A window of 2n letters that stands in two records has its windows of n letters in both. So windows
+of half the length wanted are looked at first, those whose content occurs in one record only are
+dropped, and only where one is repeated is it extended to twice its length; what repeats there is
+extended again, until no candidate survives. At the lowest level it is enough to look at one chosen
+window of n letters in each window of 2n, the one whose name is least: equal windows choose alike,
+so none is lost, and about one place in n/2 is looked at instead of every one.
+
+Names above the lowest level are 128-bit fingerprints; the chance that two different windows of ten
+trillion share one is below 1e-12.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +24,6 @@ from strandflow.session import cut
 
 #: Letters of a long text that are cut to windows at a time, so that finding a letter stays cheap.
 STRIDE = 2048
-BASE = 25
 
 
 def _name(*parts: Column) -> list[Column]:
@@ -36,24 +41,91 @@ def whole_records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once.groupBy("id").agg(F.max("text").alias("text"))
 
 
-def base_windows(records: DataFrame, size: int) -> DataFrame:
-    """(id, pos, h1, h2) of every window of ``size`` letters."""
-    long_enough = records.where(F.length("text") >= size)
-    strides = long_enough.select("id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - size, F.lit(STRIDE))).alias("at"))
-    pieces = strides.select("id", "at", F.substring(F.col("text"), F.col("at") + 1, F.lit(STRIDE + size - 1)).alias("piece"))
-    names = F.transform(F.sequence(F.lit(1), F.length("piece") - (size - 1)), lambda i: F.struct(*_name(F.substring(F.col("piece"), i, F.lit(size)))))
-    return pieces.select("id", "at", F.posexplode(names).alias("i", "w")).select("id", (F.col("at") + F.col("i")).alias("pos"), "w.h1", "w.h2")
-
-
-def repeated(windows: DataFrame) -> DataFrame:
+def strides(records: DataFrame, least: int) -> DataFrame:
+    """(id, at, piece): long texts cut so that every window of ``least`` letters lies in one piece, that
+    in which it starts. Texts shorter than ``least`` have none.
+    """
+    long_enough = records.where(F.length("text") >= least)
+    starts = F.explode(F.sequence(F.lit(0), F.length("text") - least, F.lit(STRIDE)))
+    return long_enough.select("id", "text", starts.alias("at")).select("id", "at", F.substring(F.col("text"), F.col("at") + 1, F.lit(STRIDE + least - 1)).alias("piece"))
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _names(letters: np.ndarray, size: int) -> np.ndarray:
+    """Name of the window of ``size`` letters at each place, itself built by doubling."""
+    power, width = _mix(letters * _ODD + np.uint64(1)), 1
+    out, done = None, 0
+    while True:
+        if size & width:
+            if out is None:
+                out = power
+            else:
+                n = min(len(out), len(power) - done)
+                out = _mix(out[:n] * _ODD + power[done : done + n])
+            done += width
+        if done == size:
+            return out
+        power = _mix(power[:-width] * _ODD + power[width:])
+        width *= 2
+
+
+def _least_of(x: np.ndarray, count: int) -> np.ndarray:
+    """Least of ``count`` neighbours from each place on."""
+    width = 1
+    while 2 * width <= count:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return x if width == count else np.minimum(x[: len(x) - (count - width)], x[count - width :])
+
+
+def chosen_windows(pieces: DataFrame, least: int) -> DataFrame:
+    """(id, at, name, lo, hi): windows of ``least`` letters that start at lo..hi of a piece, in a row,
+    all choose the window of half their length that has this name.
+    """
+    half = (least + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            if len(letters) < least:
+                continue
+            best = _least_of(_names(letters, half), least - half + 1)
+            owner = np.repeat(np.arange(len(size)), size)[: len(best)]
+            place = np.arange(len(best)) - (np.cumsum(size) - size)[owner]
+            fits = place + least <= size[owner]
+            best, owner, place = best[fits], owner[fits], place[fits]
+            fresh = np.ones(len(best), dtype=bool)
+            fresh[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(best)) - 1
+            rows = pa.array(owner[first])
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(best[first].view(np.int64))]
+            columns += [pa.array(place[i].astype(np.int32)) for i in (first, last)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "name", "lo", "hi"])
+
+    kind = pieces.schema["id"].dataType.simpleString()
+    return pieces.mapInArrow(run, f"id {kind}, at int, name bigint, lo int, hi int")
+
+
+def repeated(windows: DataFrame, name: Sequence[str] = ("h1", "h2")) -> DataFrame:
     """The windows whose name occurs in more than one record.
 
     The test is a hash aggregate with map-side combining (least and greatest record of a name), so
     a name that fills a third of the corpus is no load on one task; its windows are then found by a
     semi-join, whose long side AQE may split.
     """
-    shared = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2")
-    return windows.join(shared, ["h1", "h2"], "left_semi")
+    shared = windows.groupBy(*name).agg(F.min("id").alias("least_id"), F.max("id").alias("greatest_id")).where("least_id < greatest_id").select(*name)
+    return windows.join(shared, list(name), "left_semi")
 
 
 def doubled(candidates: DataFrame, size: int, longer: int) -> DataFrame:
@@ -67,29 +139,24 @@ def doubled(candidates: DataFrame, size: int, longer: int) -> DataFrame:
     return both.select("id", "pos", *_name(F.col("h1"), F.col("h2"), F.col("g1"), F.col("g2")))
 
 
-def _ladder(least: int, base: int) -> list[int]:
-    """Lengths from one of at most ``base`` up to ``least``, each at most twice the one before."""
-    sizes = [least]
-    while sizes[-1] > base:
-        sizes.append((sizes[-1] + 1) // 2)
-    return sizes[::-1]
-
-
-def shared_windows(records: DataFrame, least: int = 50, base: int = BASE) -> DataFrame:
+def shared_windows(records: DataFrame, least: int = 50) -> DataFrame:
     """(id, pos, h1, h2) of the windows of ``least`` letters that stand in more than one record."""
-    sizes = _ladder(least, base)
-    alive = repeated(base_windows(records, sizes[0]))
-    for size, longer in zip(sizes, sizes[1:]):
-        alive = repeated(doubled(alive, size, longer))
-    return alive
+    pieces = strides(records, least)
+    hopeful = repeated(chosen_windows(pieces, least), ["name"])
+    parts = hopeful.join(pieces, ["id", "at"]).select(
+        "id", (F.col("at") + F.col("lo")).alias("at"), F.substring(F.col("piece"), F.col("lo") + 1, F.col("hi") - F.col("lo") + least).alias("part")
+    )
+    names = F.transform(F.sequence(F.lit(1), F.length("part") - (least - 1)), lambda i: F.struct(*_name(F.substring(F.col("part"), i, F.lit(least)))))
+    windows = parts.select("id", "at", F.posexplode(names).alias("i", "w")).select("id", (F.col("at") + F.col("i")).alias("pos"), "w.h1", "w.h2")
+    return repeated(windows)
 
 
-def levels(records: DataFrame, least: int = 50, base: int = BASE) -> Iterator[tuple[int, DataFrame]]:
+def levels(records: DataFrame, least: int = 50) -> Iterator[tuple[int, DataFrame]]:
     """(length, windows that repeat at it) from ``least`` on, doubled until no candidate survives.
 
     Each level is checkpointed, since the next one and the caller both read it.
     """
-    size, alive = least, cut(shared_windows(records, least, base))
+    size, alive = least, cut(shared_windows(records, least))
     while not alive.isEmpty():
         yield size, alive
         alive = cut(repeated(doubled(alive, size, 2 * size)))
@@ -105,18 +172,18 @@ def merged_spans(windows: DataFrame, size: int) -> DataFrame:
     return places.select("id", F.inline(F.arrays_zip(starts.alias("span_start"), stops.alias("span_stop"))))
 
 
-def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = 50, base: int = BASE) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
     """(id, span_start, span_stop): maximal runs of letters of a record that lie in some window of
     ``least`` letters which also stands in another record.
 
     Counted from 0, stop exclusive; same letters, no reverse complement. Repeats within one record
     do not count, nor do rows delivered again. Records shorter than ``least`` have none.
     """
-    found = merged_spans(shared_windows(whole_records(df, id_col, text_col), least, base), least)
+    found = merged_spans(shared_windows(whole_records(df, id_col, text_col), least), least)
     return found.select(F.col("id").alias(id_col), F.col("span_start").cast("int").alias("span_start"), F.col("span_stop").cast("int").alias("span_stop"))
 
 
-def shared_share(df: DataFrame, id_col: str, text_col: str, least: int = 50, base: int = BASE) -> DataFrame:
+def shared_share(df: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
     """(id, n_letters, n_shared, longest): for every record how much of it is shared elsewhere.
 
     ``longest`` is the greatest length least, 2*least, 4*least... of which a whole window is shared,
@@ -124,7 +191,7 @@ def shared_share(df: DataFrame, id_col: str, text_col: str, least: int = 50, bas
     """
     records = whole_records(df, id_col, text_col)
     parts, top = [], []
-    for size, alive in levels(records, least, base):
+    for size, alive in levels(records, least):
         top.append(alive.select("id").distinct().select("id", F.lit(size).alias("size")))
         if size == least:
             parts = [merged_spans(alive, least).groupBy("id").agg(F.sum(F.col("span_stop") - F.col("span_start")).alias("n_shared"))]

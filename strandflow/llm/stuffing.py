@@ -44,35 +44,76 @@ PHRASE = 5
 LEAST_TERMS = 20
 
 
-def _patterns():
-    import regex
-
-    token = regex.compile(
-        r"(?P<link></?[a-z]+(?:\s[^<>]*)?/?>|(?:https?:)?//[^\s|\])>\"<]+|www\.[^\s|\])>\"<]+)"
-        r"|(?P<tag>\#[\p{L}\d_-]+)"
-        r"|(?P<mark>[★☆]+|\d[\d.,]*\s?[€$£]|\b[A-Z]{2,4}-\d+)"
-        r"|(?P<figure>\d[\d.,:]*%?)"
-        r"|(?P<word>\p{L}+(?:-\p{L}+)*)"
-    )
-    form = regex.compile(
-        r"\W*(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d:\d\d\b.*"  # log line
-        r"|\s*[ACGTUNacgtun]{15,}\s*"  # sequence
-        r"|\s*>[^\s>]\S*(?:\s\S+)?\s*"  # its heading
-        r"|\s*\$\s.*"  # command
-        r"|[^,;|\t]{1,40}(?:\s*[,;|\t]\s*[\d.,%]+){2,}\s*",  # row of a table
-        regex.S,
-    )
-    return token, form, regex.compile(r"\r\n|\r|\n")
-
-
-_KINDS = {"word": 0, "figure": 1, "link": 2, "tag": 3, "mark": 4}
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    """Sums over the window around each place."""
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    at = np.arange(len(x))
-    return total[np.minimum(at + HALF_WINDOW + 1, len(x))] - total[np.maximum(at - HALF_WINDOW, 0)]
+WORD, FIGURE, MARK = 0, 1, 2
+#: Terms a worker remembers; beyond it the book starts anew, between texts.
+KEPT_TERMS = 1_000_000
+#: Terms that are judged at once.
+BLOCK_TERMS = 100_000
+
+
+class Reader:
+    """Cuts texts to terms; remembers of each term its number, its kind and whether it is a function word."""
+
+    def __init__(self):
+        import regex
+
+        self.term = regex.compile(
+            r"(</?[a-z]+(?:\s[^<>]*)?/?>|(?:https?:)?//[^\s|\])>\"<]+|www\.[^\s|\])>\"<]+"  # link
+            r"|\#[\p{L}\d_-]+"  # tag
+            r"|[★☆]+|\d[\d.,]*\s?[€$£]|\b[A-Z]{2,4}-\d+"  # stars, price, number of an article
+            r"|\d[\d.,:]*%?"  # figure
+            r"|\p{L}+(?:-\p{L}+)*)"  # word
+        )
+        self.form = regex.compile(
+            r"\W*(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d:\d\d\b.*"  # log line
+            r"|\s*[ACGTUNacgtun]{15,}\s*"  # sequence
+            r"|\s*>[^\s>]\S*(?:\s\S+)?\s*"  # its heading
+            r"|\s*\$\s.*"  # command
+            r"|[^,;|\t]{1,40}(?:\s*[,;|\t]\s*[\d.,%]+){2,}\s*",  # row of a table
+            regex.S,
+        )
+        self.figure = regex.compile(r"\d[\d.,:]*%?")
+        self.breaks = regex.compile(r"(\r\n|\r|\n)")
+        self.known: dict[str, tuple[int, int, bool]] = {}
+        self.numbers: dict[str, int] = {}
+
+    def _look(self, term: str) -> tuple[int, int, bool]:
+        if term[0].isalpha() and not term.startswith(("www.", "http:", "https:")) and not term[-1].isdigit():
+            kind, name = WORD, term.lower()
+        elif self.figure.fullmatch(term):
+            kind, name = FIGURE, "0"
+        else:
+            kind, name = MARK, term[0] if term[0] in "<#★☆" else "/"
+        found = self.numbers.setdefault(name, len(self.numbers)), kind, kind == WORD and name in FUNCTION_WORDS
+        if len(term) <= 40:
+            self.known[term] = found
+        return found
+
+    def read(self, text: str) -> tuple[list[tuple[int, int, bool]], list[int]]:
+        """The terms outside lines of known form: (number, kind, function word) and characters up to the next one."""
+        looked: list[tuple[int, int, bool]] = []
+        sizes: list[int] = []
+        pieces = self.breaks.split(text)
+        known = self.known
+        for i in range(0, len(pieces), 2):
+            body = pieces[i]
+            if not body or self.form.fullmatch(body):
+                continue
+            parts = self.term.split(body)
+            if len(parts) == 1:
+                continue
+            sizes.append(len(parts[0]) + len(parts[1]) + len(parts[2]))
+            sizes += [len(a) + len(b) for a, b in zip(parts[3::2], parts[4::2])]
+            if i + 1 < len(pieces):
+                sizes[-1] += len(pieces[i + 1])
+            looked += [known.get(t) or self._look(t) for t in parts[1::2]]
+        return looked, sizes
+
+    def forget(self) -> None:
+        """Starts the book anew if it is full; between blocks of texts only, as numbers change."""
+        if len(self.known) > KEPT_TERMS or len(self.numbers) > KEPT_TERMS:
+            self.known.clear()
+            self.numbers.clear()
 
 
 def _near(codes: np.ndarray, lag: int) -> np.ndarray:
@@ -85,84 +126,93 @@ def _near(codes: np.ndarray, lag: int) -> np.ndarray:
     return out
 
 
-def features(text: str, compiled=None) -> dict[str, np.ndarray] | None:
-    """Per term: size in characters, function share, recurrence and phrase share of its window."""
-    token, form, breaks = compiled or _patterns()
-    kinds, terms, starts, ends = [], [], [], []
-    at = 0
-    for line in [*breaks.finditer(text), None]:
-        stop = line.end() if line else len(text)
-        body = text[at : line.start() if line else stop]
-        if body and not form.fullmatch(body):
-            first = True
-            for m in token.finditer(body):
-                begin = at if first else at + m.start()
-                if not first:
-                    ends.append(begin)
-                first = False
-                kinds.append(_KINDS[m.lastgroup])
-                terms.append(m.group().lower() if m.lastgroup == "word" else m.lastgroup)
-                starts.append(begin)
-            if not first:
-                ends.append(stop)
-        at = stop
-    if len(terms) < LEAST_TERMS:
-        return None
-    kind = np.array(kinds)
-    size = np.array(ends, dtype=np.int64) - np.array(starts, dtype=np.int64)
-    book: dict[str, int] = {}
-    code = np.array([book.setdefault(t, len(book)) for t in terms])
-    known = np.array([t in FUNCTION_WORDS for t in book])
-    func = known[code] & (kind == 0)
-    content = (kind == 0) & ~func
-    # recurrence of content words within the lag
-    recurs = _near(code, LAG) & content
-    # phrases of PHRASE terms with a function word that come back anywhere in the text
-    phrase = np.zeros(len(code), dtype=bool)
-    if len(code) >= PHRASE:
-        n = len(code) - PHRASE + 1
-        h = np.zeros(n, dtype=np.uint64)
-        f = np.zeros(n, dtype=np.int64)
-        for i in range(PHRASE):
-            h = (h ^ code[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-            f += func[i : i + n]
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        whole = (count[back] > 1) & (f > 0)
-        for i in range(PHRASE):
-            phrase[i : i + n] |= whole
-    units = _spread(kind != 1)
-    return {
-        "size": size,
-        "func": _spread(func) / np.maximum(units, 1),
-        "recurs": _spread(recurs) / np.maximum(_spread(content), 1),
-        "phrase": _spread(phrase) / np.maximum(_spread(np.ones(len(code))), 1),
-        "close": _spread(_near(code, CLOSE_LAG) & content) / np.maximum(_spread(content), 1),
-    }
-
-
-def stuffed_share(text: str | None, compiled=None) -> float:
-    """Share of a text's characters that lie in stuffed windows; 0 for null and empty texts and for those too short to judge."""
-    if not text:
-        return 0.0
-    f = features(text, compiled)
-    if f is None:
-        return 0.0
-    listed = f["func"] < LEAST_FUNCTION_SHARE
-    strung = ~listed & (f["recurs"] >= LEAST_RECURRING) & ((f["phrase"] < MOST_PHRASES) | (f["close"] >= LEAST_CLOSE))
-    return float(f["size"][listed | strung].sum() / len(text))
+def _phrases(code: np.ndarray, func: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a term lies in a phrase with a function word that comes back in its text."""
+    out = np.zeros(len(code), dtype=bool)
+    n = len(code) - PHRASE + 1
+    if n < 1:
+        return out
+    h = owner[:n].astype(np.uint64)
+    f = np.zeros(n, dtype=np.int64)
+    for i in range(PHRASE):
+        h = (h ^ code[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        f += func[i : i + n]
+    usable = np.flatnonzero((f > 0) & (owner[:n] == owner[PHRASE - 1 :]))
+    _, back, count = np.unique(h[usable], return_inverse=True, return_counts=True)
+    again = usable[count[back] > 1]
+    for i in range(PHRASE):
+        out[again + i] = True
+    return out
+
+
+def stuffed_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each term lies in a stuffed window. terms: (number, kind, function word); owner: its text, in order."""
+    code, kind, func = terms[:, 0], terms[:, 1], terms[:, 2].astype(bool)
+    at = np.arange(len(code))
+    start = np.searchsorted(owner, owner, "left")
+    stop = np.searchsorted(owner, owner, "right")
+    low, high = np.maximum(at - HALF_WINDOW, start), np.minimum(at + HALF_WINDOW + 1, stop)
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(x)])
+        return total[high] - total[low]
+
+    content = (kind == WORD) & ~func
+    own = code + owner * (int(code.max(initial=0)) + 1)
+    words = np.maximum(spread(content), 1)
+    functional = spread(func) / np.maximum(spread(kind != FIGURE), 1)
+    recurring = spread(_near(own, LAG) & content) / words
+    close = spread(_near(own, CLOSE_LAG) & content) / words
+    phrases = spread(_phrases(code, func, owner)) / (high - low)
+    listed = functional < LEAST_FUNCTION_SHARE
+    return listed | ((recurring >= LEAST_RECURRING) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
+
+
+def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
+    """Share of each text's characters that lie in stuffed windows; 0 for null and empty texts and for
+    those of fewer than LEAST_TERMS terms.
+    """
+    out = np.zeros(len(texts))
+    terms: list[tuple[int, int, bool]] = []
+    sizes: list[int] = []
+    owners: list[int] = []
+    counts: list[int] = []
+
+    def judge() -> None:
+        if terms:
+            owner = np.repeat(np.array(owners), np.array(counts))
+            inside = stuffed_terms(np.array(terms, dtype=np.int64), owner)
+            stuffed = np.bincount(owner, weights=np.array(sizes) * inside, minlength=len(texts))
+            for i in owners:
+                out[i] = stuffed[i] / len(texts[i])
+        for x in (terms, sizes, owners, counts):
+            x.clear()
+        reader.forget()
+
+    for i, text in enumerate(texts):
+        looked, size = reader.read(text) if text else ([], [])
+        if len(looked) >= LEAST_TERMS:
+            terms += looked
+            sizes += size
+            owners.append(i)
+            counts.append(len(looked))
+        if len(terms) >= BLOCK_TERMS:
+            judge()
+    judge()
+    return out
 
 
 def page_shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stuffed_share) of every row; a narrow map over the scan, whole texts, one at a time.
+    """(id, stuffed_share) of every row; a narrow map over the scan, over whole texts.
 
     Null, empty and blank texts and those of fewer than LEAST_TERMS terms have share 0. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = _patterns()
+        reader = Reader()
         for batch in batches:
-            shares = [stuffed_share(t.as_py(), compiled) for t in batch.column(1)]
+            shares = stuffed_shares(batch.column(1).to_pylist(), reader)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=[id_col, "stuffed_share"])
 
     kind = docs.schema[id_col].dataType.simpleString()

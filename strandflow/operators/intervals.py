@@ -91,7 +91,7 @@ def covered(intervals: DataFrame, key: str, start: str, stop: str, bits: int = B
         "key", (F.col("pos") - lo).alias("at"), F.col("pos").alias("first"), F.when(F.col("before") == 0, 1).otherwise(0).cast("bigint").alias("total")
     )
     paired = _sweep(turns, bits, levels)
-    return paired.where("total = 1").select(F.col("key").alias(key), F.col("at").alias("cover_start"), F.col("next_first").alias("cover_stop"))
+    return paired.where("total = 1").select(F.col("key").alias(key), F.col("first").alias("cover_start"), F.col("next_first").alias("cover_stop"))
 
 
 def covered_length(intervals: DataFrame, key: str, start: str, stop: str, bits: int = BITS) -> DataFrame:

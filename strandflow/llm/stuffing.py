@@ -4,7 +4,7 @@ A text is read as a row of terms: words, and marks such as a link, a tag or a pr
 term a lag window is laid. Positional autocorrelation: a content word counts as recurring if the
 same word stands at any lag up to 40, and as close if at any lag up to 12; the shares of these in
 the window are unnaturally high for strung keywords. Sentences that repeat come back in whole
-phrases with function words in them instead, and are let off for that. Function words: a long row
+phrases with function words in them instead, or hold more function words, and are let off for that. Function words: a long row
 of distinct nouns or marks that holds hardly any is a list. The characters of windows of either
 kind are summed, and a page is stuffed if they are more than half of its characters. Log lines,
 tables of figures, sequences and commands are told by their form and never counted.
@@ -36,6 +36,7 @@ FUNCTION_WORDS = frozenset(
 HALF_WINDOW = 12
 LAG = 40
 LEAST_FUNCTION_SHARE = 0.13
+MOST_FUNCTION_SHARE = 0.38
 LEAST_RECURRING = 0.85
 CLOSE_LAG = 12
 LEAST_CLOSE = 0.6
@@ -132,7 +133,8 @@ def _phrases(code: np.ndarray, func: np.ndarray, owner: np.ndarray) -> np.ndarra
     n = len(code) - PHRASE + 1
     if n < 1:
         return out
-    h = owner[:n].astype(np.uint64)
+    h = (owner[:n].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
     f = np.zeros(n, dtype=np.int64)
     for i in range(PHRASE):
         h = (h ^ code[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -166,7 +168,7 @@ def stuffed_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
     close = spread(_near(own, CLOSE_LAG) & content) / words
     phrases = spread(_phrases(code, func, owner)) / (high - low)
     listed = functional < LEAST_FUNCTION_SHARE
-    return listed | ((recurring >= LEAST_RECURRING) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
+    return listed | ((recurring >= LEAST_RECURRING) & (functional < MOST_FUNCTION_SHARE) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
 
 
 def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:

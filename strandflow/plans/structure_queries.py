@@ -14,6 +14,7 @@ from strandflow.operators.rejects import VARIANT, load_or_reject
 from strandflow.plans.core_problems import _VAR_OK
 from strandflow.plans.sequence_queries import _GRAPH, K, READS, _edges, _reads, kmer_cte
 from strandflow.sources import sinks
+from strandflow.sources.formats import in_fraction
 from strandflow.streaming import counts
 from strandflow.tables import table
 
@@ -99,16 +100,23 @@ def streamed_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.run_to_end(counts.kmer_counts(reads, 12), f"kmers_{uuid.uuid4().hex}", "update").groupBy("kmer").agg(F.max("n").alias("n")).where("n >= 12")
 
 
+def fraction_subsample(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs kept of a quarter, pair numbers from 1."""
+    pairs = _reads(spark, d).select((F.shiftright("read_id", 1) + 1).alias("pair")).distinct()
+    return pairs.where(in_fraction(F.col("pair"), 0.25))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        gfa_links, edge_support, simple_bubbles, hanging_ends, small_components, canonical_repeats, unrollable_loops, merged_chains, line_lengths, efasta_sites, document_tokens, reads_with_library,
+        fraction_subsample, gfa_links, edge_support, simple_bubbles, hanging_ends, small_components, canonical_repeats, unrollable_loops, merged_chains, line_lengths, efasta_sites, document_tokens, reads_with_library,
         streamed_event_windows, streamed_kmer_counts,
     )
 }
 
 _DEG = "d as (select vertex v, n_in i, n_out o from deg)"
 SQL = {
+    "fraction_subsample": f"with {READS} select distinct (read_id >> 1) + 1 pair from reads where read_id < 2 or floor(((read_id >> 1) + 1) * 0.25) > floor((read_id >> 1) * 0.25)",
     "gfa_links": f"""{_GRAPH} select 'L' || chr(9) || 'edge' || least(a.edge, a.inv) || chr(9) || case when a.edge <= a.inv then '+' else '-' end || chr(9) || 'edge' || least(b.edge, b.inv) || chr(9)
         || case when b.edge <= b.inv then '+' else '-' end || chr(9) || '0M' line from edges a join edges b on a.dst = b.src where a.edge < b.inv or (a.edge = b.inv and b.edge <= a.inv)""",
     "simple_bubbles": f"""{_GRAPH}, {_DEG}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges group by 1, 2)

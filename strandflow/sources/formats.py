@@ -11,10 +11,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".bam", ".fastq", ".fastq.gz", ".fq", ".fq.gz", ".parquet")
@@ -123,7 +123,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("record")).agg(
         *[F.max(F.when(F.col("line_no") % 4 == i, F.col("line"))).alias(f"l{i}") for i in range(4)]
     )
-    codes = F.transform(F.split("l3", "(?!^)"), lambda c: F.ascii(c) - 33)
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("l3"), F.lit(1))), lambda i: F.ascii(F.substring("l3", i, F.lit(1))) - 33)
     qual = F.when(F.length("l3") == 0, F.array().cast("array<int>")).otherwise(codes)
     wrong = (
         F.when(F.col("l3").isNull(), "a record does not end")
@@ -136,7 +136,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "record", checked.alias("name"), F.translate(F.upper("l1"), "N", "A").alias("seq"), qual.alias("qual"))
 
 
-def pair_name(name) -> object:
+def pair_name(name: Column) -> Column:
     """A read's name up to the first blank or slash."""
     return F.regexp_extract(name, r"^([^ /]*)", 1)
 
@@ -156,13 +156,16 @@ def interlaced(records: DataFrame) -> DataFrame:
     return rows.join(odd, "pair", "left_anti")
 
 
-def kept_pairs(n: int, frac: float) -> list[int]:
-    """Which of n pairs (from 1) a fraction keeps: pair i is kept if at most frac of those before are, in terms of i."""
-    kept: list[int] = []
-    for i in range(1, n + 1):
-        if len(kept) / i <= frac and len(kept) < frac * i:
-            kept.append(i)
-    return kept
+def in_fraction(number: Column, frac: float) -> Column:
+    """Whether the pair of this number (from 1) is kept of a fraction.
+
+    Taking pairs in turn, one is skipped while more than ``frac`` of those before it, in terms of
+    its own number, are taken. After pair i that makes floor(frac*i) + 1 pairs, so each row can
+    tell by itself and no order is needed.
+    """
+    if frac >= 1:
+        return F.lit(True)
+    return (number == 1) | (F.floor(number * frac) > F.floor((number - 1) * frac))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -182,7 +185,7 @@ def fasta_region(records: DataFrame, name: str, start: int, stop: int) -> DataFr
 
 
 # Bases of the four-bit code of BAM; a code for several bases gives the lowest of them.
-_NIBBLES = "=ACAGAAATCCCGGTA"[:1] + "ACAGAAATCACAGAA"
+_NIBBLES = "=ACAGACATACAGACA"
 
 
 def _bam_records(raw: bytes) -> Iterator[tuple]:

@@ -34,8 +34,8 @@ def links(nodes: DataFrame) -> DataFrame:
 def chains(nodes: DataFrame, link: DataFrame) -> DataFrame:
     """(node, head, rank, circle): the chain each node lies on and its place there.
 
-    Pointer doubling: every round each node looks as far again towards its head, so the rounds are
-    the logarithm of the longest chain. Each round is one self-join, checkpointed. A round in which
+    Pointer jumping: every round each node looks three times as far towards its head, so the rounds
+    are the logarithm of the longest chain. Each round is a self-join done twice, checkpointed. A round in which
     no further node reaches a head leaves only circles; these carry the least node they have seen,
     are cut there, and ranked in the same way.
     """
@@ -56,11 +56,9 @@ def _rank(back: DataFrame, circles_too: bool) -> DataFrame:
     open_before = state.where(~F.col("done")).count()
     while open_before:
         far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("rank").alias("rank2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
-        moved = (
-            state.where(~F.col("done"))
-            .join(far, "anc")
-            .select("node", F.col("anc2").alias("anc"), (F.col("rank") + F.col("rank2")).alias("rank"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
-        )
+        moved = state.where(~F.col("done"))
+        for _ in range(2):  # what an ancestor that is a head adds is nothing
+            moved = moved.join(far, "anc").select("node", F.col("anc2").alias("anc"), (F.col("rank") + F.col("rank2")).alias("rank"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
         state = cut(state.where("done").unionByName(moved))
         still = state.where(~F.col("done")).count()
         if still == open_before:

@@ -122,8 +122,8 @@ def consensus_columns(locs: DataFrame, reads: DataFrame) -> DataFrame:
     placed = locs.join(reads.select(F.col("read_id").alias("rid"), "seq", full.alias("q")), "rid")
     laid = placed.select("uid", "start_pos", F.when(F.col("rc"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("s"), F.when(F.col("rc"), F.reverse("q")).otherwise(F.col("q")).alias("q"))
     cells = laid.select("uid", "start_pos", F.posexplode(F.arrays_zip(F.split("s", "").alias("base"), F.col("q").alias("q"))).alias("i", "c"))
-    weight = F.when(F.col("c.q") <= 2, F.least(F.col("c.q").cast("decimal(10,1)"), F.lit("0.2").cast("decimal(10,1)"))).otherwise(F.col("c.q").cast("decimal(10,1)"))
-    sums = cells.select("uid", (F.col("start_pos") + F.col("i")).alias("col"), F.col("c.base").alias("base"), weight.alias("w"))
-    wide = sums.groupBy("uid", "col").agg(*[F.sum(F.when(F.col("base") == b, F.col("w")).otherwise(0)).cast("double").alias(b) for b in "ACGT"])
+    tenths = F.when(F.col("c.q") <= 2, F.least(F.col("c.q") * 10, F.lit(2))).otherwise(F.col("c.q") * 10)
+    sums = cells.select("uid", (F.col("start_pos") + F.col("i")).alias("col"), F.col("c.base").alias("base"), tenths.alias("w"))
+    wide = sums.groupBy("uid", "col").agg(*[(F.sum(F.when(F.col("base") == b, F.col("w")).otherwise(0)) / 10).alias(b) for b in "ACGT"])
     ranked = F.array_sort(F.array(*[F.struct((-F.col(b)).alias("w"), F.lit(b).alias("base")) for b in "ACGT"]))
     return wide.select("uid", "col", ranked.alias("r")).select("uid", "col", F.col("r")[0]["base"].alias("base"), (-F.col("r")[0]["w"]).alias("top"), (-F.col("r")[1]["w"]).alias("second"))

@@ -44,10 +44,33 @@ def n50(df: DataFrame, length: str, by: Sequence[str] = ()) -> DataFrame:
     return at.select(*by, F.when(exact_end, F.floor((F.col("len") + F.col("nxt")) / 2)).otherwise(F.col("len")).cast("bigint").alias("n50"))
 
 
-def sliding(df: DataFrame, key: str, order: Sequence[str], value: str, radius: int) -> DataFrame:
-    """Adds least, greatest, sum and mean of the value over ``radius`` rows on either side, by key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-radius, radius)
-    return df.select("*", F.min(value).over(w).alias("w_min"), F.max(value).over(w).alias("w_max"), F.sum(value).over(w).alias("w_sum"), F.avg(value).over(w).alias("w_mean"))
+def row_ranks(df: DataFrame, key: str, at: str, tie: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """Adds ``rank``: the place of a row, from 1, within its key by time and then by ``tie``.
+
+    Rows are ranked within buckets of time and the sizes of the buckets are summed, of which a key
+    has one for each day with rows; so a key that holds a third of all rows is many tasks' work.
+    Null times come first, as one bucket.
+    """
+    rows = df.withColumn("__b", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / bucket_seconds))
+    sizes = rows.groupBy(F.col(key).alias("__k"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = sizes.withColumn("__ahead", F.sum("__n").over(Window.partitionBy("__k").orderBy("__c")) - F.col("__n"))
+    inner = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__b").orderBy(at, tie)))
+    met = inner.join(ahead, F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return met.withColumn("rank", F.col("__r") + F.col("__ahead")).drop("__b", "__k", "__c", "__n", "__r", "__ahead")
+
+
+def sliding(df: DataFrame, key: str, at: str, tie: str, value: str, radius: int) -> DataFrame:
+    """(key, tie, w_min, w_max, w_sum, w_mean) of the value over ``radius`` rows on either side, by key and time.
+
+    Each row hands its value to the ranks around it, and these meet by key and rank: a hot key is
+    spread evenly, at the price of 2*radius+1 small rows for each.
+    """
+    ranked = row_ranks(df, key, at, tie).select(F.col(key).alias("k"), F.col(tie).alias("t"), F.col(value).alias("v"), "rank")
+    given = ranked.select("k", "t", "v", "rank", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("o"))
+    met = given.groupBy("k", (F.col("rank") + F.col("o")).alias("rank")).agg(
+        F.max(F.when(F.col("o") == 0, F.col("t"))).alias("t"), F.max(F.col("o") == 0).alias("own"), F.min("v").alias("w_min"), F.max("v").alias("w_max"), F.sum("v").alias("w_sum"), F.avg("v").alias("w_mean")
+    )
+    return met.where("own").select(F.col("k").alias(key), F.col("t").alias(tie), "w_min", "w_max", "w_sum", "w_mean")
 
 
 def poisson_cdf(k: Column, mean: Column) -> Column:

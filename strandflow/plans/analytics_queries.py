@@ -56,7 +56,7 @@ def latest_view_before_purchase(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_event_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = stats.sliding(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 2)
+    rows = stats.sliding(table(spark, d, "events"), "user_id", "ts", "event_id", "value", 2)
     return rows.select("event_id", *[F.round(c, 4).alias(c) for c in ("w_min", "w_max", "w_sum", "w_mean")])
 
 

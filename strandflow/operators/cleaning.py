@@ -139,7 +139,7 @@ def separated_repeats(scores: DataFrame, least: int = 5, ratio: int = 5) -> Data
 
 
 def unrollable_loops(edges: DataFrame, size: int = 800) -> DataFrame:
-    """(prev, left, loop, right_to_next): prev -> R -> next with one edge back from R's end to its start; both ends long."""
+    """(prev, repeat, loop, next): prev -> R -> next with one edge back from R's end to its start; both ends long."""
     deg = vertex_degrees(edges)
     back = edges.select(F.col("edge").alias("loop"), F.col("src").alias("r_dst"), F.col("dst").alias("r_src"))
     run = edges.select(F.col("edge").alias("repeat"), F.col("src").alias("r_src"), F.col("dst").alias("r_dst"))

@@ -210,6 +210,8 @@ _GRAPH = f"""with recursive {READS}, {kmer_cte('kt', 'reads', K, f'count(*) >= {
   edges as (select *, substr(seq, 1, {K - 1}) src, substr(seq, length(seq) - {K - 2}) dst from paths),
   deg as (select vertex, sum(i) n_in, sum(o) n_out from (select src vertex, 0 i, 1 o from edges union all select dst, 1, 0 from edges) group by vertex)"""
 
+COMPONENTS = """und as (select src a, dst b from edges union select dst, src from edges), reach(a, b) as (select a, a from und union select reach.a, und.b from reach join und on reach.b = und.a),
+  comp as (select a vertex, min(b) component from reach group by a)"""
 _A = "select * from reads where sample like 'smpA%'"
 _B = "select * from reads where sample like 'smpB%'"
 _AB = f"with {READS}, ra as ({_A}), rb as ({_B}), {kmer_cte('a', 'ra', K)}, {kmer_cte('b', 'rb', K)}"
@@ -244,6 +246,7 @@ SQL = {
     "graph_vertices": f"{_GRAPH} select vertex, n_in, n_out from deg",
     "fork_classes": f"""{_GRAPH} select case when n_out = 0 then 'nothing_fw' when n_out = 1 and n_in = 1 then 'line_fw' when n_out = 1 then 'split_fw' when n_in = 1 then 'join_fw' else 'join_split_fw' end fork,
         count(*) edges, cast(sum(n_kmers) as bigint) kmers from edges join deg on dst = vertex group by 1""",
+    "component_sizes": f"{_GRAPH}, {COMPONENTS} select edges, count(*) components from (select component, count(*) edges from edges join comp on vertex = src group by 1) group by 1",
     "involution_violations": "select unnest(['inverse missing','inverse of inverse','sequence','ends']) rule, unnest([0,0,0,0]::bigint[]) n",
     "gfa_segments": f"{_GRAPH} select 'S' || chr(9) || 'edge' || edge || chr(9) || seq line from edges where edge <= inv",
 }

@@ -12,7 +12,7 @@ from strandflow.operators import cleaning, lines, placement
 from strandflow.operators.kmers import clean_reads
 from strandflow.operators.rejects import VARIANT, load_or_reject
 from strandflow.plans.core_problems import _VAR_OK
-from strandflow.plans.sequence_queries import _GRAPH, K, READS, _edges, _reads, kmer_cte
+from strandflow.plans.sequence_queries import _GRAPH, COMPONENTS, K, READS, _edges, _reads, kmer_cte
 from strandflow.sources import sinks
 from strandflow.sources.formats import in_fraction
 from strandflow.streaming import counts
@@ -128,6 +128,11 @@ SQL = {
         r as (select v, case when v in (select vertex from bad) then 120 else (select max(reach) from far where vertex = v) end reach, v not in (select vertex from bad) complete from (select src v from edges union select dst from edges)),
         f as (select edge, src, n_kmers + reach dist, complete, max(n_kmers + reach) over (partition by src) best, count(*) over (partition by src) n from edges join r on r.v = dst)
         select edge from f where n > 1 and complete and dist <= 60 and best >= 2 * dist""",
+    "small_components": f"""{_GRAPH}, {COMPONENTS}, p as (select edge, src, dst, n_kmers, component from edges join comp on vertex = src),
+        s as (select component, max(n_kmers) top, sum(n_kmers) total, max(case when src not in (select dst from edges) then 1 else 0 end) open from p group by 1)
+        select edge from p join s using (component) where top <= 60 and (total < 100 or open = 1)""",
+    "unrollable_loops": f"""{_GRAPH}, {_DEG} select p.edge prev, r.edge repeat, l.edge loop, n.edge next from edges r join edges l on l.src = r.dst and l.dst = r.src join edges p on p.dst = r.src join edges n on n.src = r.dst
+        join d a on a.v = r.src join d b on b.v = r.dst where p.edge <> l.edge and n.edge <> l.edge and p.edge <> n.edge and a.i = 2 and a.o = 1 and b.i = 1 and b.o = 2""",
     "canonical_repeats": f"""{_GRAPH}, {_DEG} select edge repeat, (select min(x.edge) from edges x where x.dst = e.src) in1, (select max(x.edge) from edges x where x.dst = e.src) in2,
         (select min(x.edge) from edges x where x.src = e.dst) out1, (select max(x.edge) from edges x where x.src = e.dst) out2 from edges e join d a on a.v = src join d b on b.v = dst
         where a.i = 2 and a.o = 1 and b.i = 1 and b.o = 2 and src <> dst""",

@@ -8,6 +8,10 @@ phrases with function words in them instead, or hold more function words, and ar
 of distinct nouns or marks that holds hardly any is a list. The characters of windows of either
 kind are summed, and a page is stuffed if they are more than half of its characters. Log lines,
 tables of figures, sequences and commands are told by their form and never counted.
+
+A text of fewer than LEAST_TERMS terms does not fill a window: a short sentence may well hold no
+function word. It is judged as a whole, by what makes a list: links or tags that follow each other,
+entries between separators, or keywords that come back.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ LEAST_CLOSE = 0.6
 MOST_PHRASES = 0.4
 PHRASE = 5
 LEAST_TERMS = 20
+# For texts of fewer terms: two links or tags make a list; of other entries, and of returns of a keyword, it takes four.
+LEAST_LINKS = 2
+LEAST_ENTRIES = 4
+MOST_ENTRY_TERMS = 4
 
 
 WORD, FIGURE, MARK = 0, 1, 2
@@ -75,6 +83,8 @@ class Reader:
         )
         self.figure = regex.compile(r"\d[\d.,:]*%?")
         self.breaks = regex.compile(r"(\r\n|\r|\n)")
+        self.separators = regex.compile(r"[\r\n;|•·»›、，；]|,(?!\d)|\s[-–*/>]\s")
+        self.sentence = regex.compile(r"[\p{L}\p{N})\"][.!?…](?:\s|$)|[。！？]")
         self.known: dict[str, tuple[int, int, bool]] = {}
         self.numbers: dict[str, int] = {}
 
@@ -110,6 +120,20 @@ class Reader:
             looked += [known.get(t) or self._look(t) for t in parts[1::2]]
         return looked, sizes
 
+    def entries(self, text: str) -> int:
+        """How many entries a short text lists between separators; 0 if any of it is no short entry or has a known form."""
+        if self.sentence.search(text) or any(b and self.form.fullmatch(b) for b in self.breaks.split(text)[::2]):
+            return 0
+        found = 0
+        for piece in self.separators.split(text):
+            terms = self.term.findall(piece)
+            if not terms:
+                continue
+            if len(terms) > MOST_ENTRY_TERMS or all(self.figure.fullmatch(t) for t in terms) or "=" in piece or ":" in piece:
+                return 0
+            found += 1
+        return found
+
     def forget(self) -> None:
         """Starts the book anew if it is full; between blocks of texts only, as numbers change."""
         if len(self.known) > KEPT_TERMS or len(self.numbers) > KEPT_TERMS:
@@ -171,9 +195,38 @@ def stuffed_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return listed | ((recurring >= LEAST_RECURRING) & (functional < MOST_FUNCTION_SHARE) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
 
 
+def short_share(text: str, looked: list[tuple[int, int, bool]], sizes: list[int], reader: Reader) -> float:
+    """Share of a text of fewer than LEAST_TERMS terms that is a list or repeated keywords."""
+    n = len(looked)
+    whole = sum(sizes) / len(text)
+    content = [code for code, kind, func in looked if kind == WORD and not func]
+    worded = max(sum(kind != FIGURE for _, kind, _ in looked), 1)
+    functional = sum(func for *_, func in looked) / worded
+    if len(content) >= LEAST_ENTRIES * len(set(content)) > 0 and functional < MOST_FUNCTION_SHARE:
+        return whole
+    if functional < LEAST_FUNCTION_SHARE and reader.entries(text) >= LEAST_ENTRIES:
+        return whole
+    # else the longest stretch of links or tags, with the words that name them
+    best = 0
+    html, links = reader.numbers.get("<"), {reader.numbers.get("/"), reader.numbers.get("#")}
+    for i in range(n):
+        marks = elements = functions = worded = inside = 0
+        for j in range(i, n):
+            code, kind, func = looked[j]
+            inside += sizes[j]
+            functions += func
+            worded += kind != FIGURE
+            if kind == MARK:
+                marks += 1
+                elements += 1 if code == html else 2 if code in links else 0
+                if elements >= 2 * LEAST_LINKS and 3 * marks >= j - i + 1 and functions < LEAST_FUNCTION_SHARE * worded:
+                    best = max(best, inside)
+    return best / len(text)
+
+
 def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
-    """Share of each text's characters that lie in stuffed windows; 0 for null and empty texts and for
-    those of fewer than LEAST_TERMS terms.
+    """Share of each text's characters that lie in stuffed windows; 0 for null and empty texts. Texts of
+    fewer than LEAST_TERMS terms are judged by ``short_share``.
     """
     out = np.zeros(len(texts))
     terms: list[tuple[int, int, bool]] = []
@@ -199,6 +252,8 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
             sizes += size
             owners.append(i)
             counts.append(len(looked))
+        elif looked:
+            out[i] = short_share(text, looked, size, reader)
         if len(terms) >= BLOCK_TERMS:
             judge()
     judge()
@@ -208,7 +263,7 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
 def page_shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stuffed_share) of every row; a narrow map over the scan, over whole texts.
 
-    Null, empty and blank texts and those of fewer than LEAST_TERMS terms have share 0. Other columns are not read.
+    Null, empty and blank texts have share 0. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

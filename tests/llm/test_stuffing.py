@@ -83,3 +83,29 @@ def test_pages(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, stuffed_share double")
     assert sorted(r.doc_id for r in stuffing.stuffed_pages(df).collect()) == [1, 1, 5]
     assert stuffing.stuffed_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+SHORT_SPAM = [
+    "\n".join(f"https://a{i}.example/some/page?id={i}" for i in range(17)),
+    "https://a.example/x //b.test/ www.c.test",
+    "See the note:\n* [flow cell](https://a.example/kits/flow)\n* [loading dye](//b.example/kits/dye)",
+    '<li><a href="https://a.example/x">kits</a></li><li><a href="https://a.example/y">reads</a></li>',
+    "#assembly #reads #contigs",
+    "Home » Shop » Library kits » Contact",
+    "flow cell, cheap reads, loading dye, prep kit, long reads",
+    "cheap reads cheap reads cheap reads cheap reads",
+    "SKU-1 flow cell ★★★☆☆ (12) 19,50 €\nSKU-2 loading dye ★★☆☆☆ (3) 9,50 €",
+]
+SHORT_PLAIN = [
+    "ok", "TODO", "404", "K=60?", "see above", "https://a.example/only", "[UNK] <s> </s>", "tab\t\ttab", "Siehe auch Quidi-kit.",
+    "Unser Rechner verwirft überzählige Kopien.", "The second pass skips vertices of degree four during step 2.", "a_b__c snake_case CamelCase kMer2Go",
+    "The list at https://a.example/x and the one at https://b.example/y were lost.", "sample | n50 | edges | cov\nA1 | 12 | 40 | 3.5", "k=60, n=5, freq=4, qual=7",
+    "Reads, contigs, bubbles, lines. All were kept.", "08:04:11 WARN  lane 2\ncoverage below cutoff",
+]
+
+
+@pytest.mark.parametrize("text", SHORT_SPAM + SHORT_PLAIN)
+def test_short_texts(text):
+    reader = stuffing.Reader()
+    assert 0 < len(reader.read(text)[0]) < stuffing.LEAST_TERMS
+    assert (stuffing.stuffed_shares([text], reader)[0] > 0.5) == (text in SHORT_SPAM)

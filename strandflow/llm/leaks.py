@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 #: Fixed masks: 1 a word that counts, 0 one that is ignored. Each span of twelve words and each
 #: place of a single changed word is left out by one of them.
 MASKS = ("110110110110", "101101101101", "011011011011")
+#: Masks of eight words for two changed ones: the triples of places that they ignore are the lines of
+#: the Fano plane over places 1 to 7, so every two of these are ignored together by one mask. Place 0
+#: is never ignored, as a stretch begins with an equal word.
+PAIR_MASKS = tuple("1" + "".join("0" if (p - i) % 7 in (0, 1, 3) else "1" for p in range(7)) for i in range(7))
 BLOCK_WORDS = 2_000_000
 
 
@@ -153,9 +157,10 @@ def overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, run, overlap, changed) of every document and item with a seed in common.
 
-    ``run`` is the longest run of consecutive words that both have, ``overlap`` the longest aligned
-    stretch with at most ``most_changed`` changed words, ``changed`` how many it has. A run at least
-    as long as the masks is never missed. Null and empty texts have no words; items or documents
+    ``run`` is the longest run of consecutive words in the alignments looked at, ``overlap`` the longest
+    aligned stretch with at most ``most_changed`` changed words, ``changed`` how many it has. A run at
+    least as long as the masks is never missed; with ``PAIR_MASKS`` neither is a stretch of eight words
+    or more with two changed ones. Null and empty texts have no words; items or documents
     shorter than the masks meet nothing; repeated rows come out once; null ids are passed over.
     """
     spark = docs.sparkSession

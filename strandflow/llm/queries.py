@@ -56,8 +56,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps of eight words or more, a changed word or two being tolerated."""
-    masks = tuple(m[:8] for m in leaks.MASKS)
-    return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), masks=masks, most_changed=2).where("overlap >= 8")
+    return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), masks=leaks.PAIR_MASKS, most_changed=2).where("overlap >= 8")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from strandflow.llm import leaks
+from strandflow.llm import leaks, queries
 
 VOCABULARY = [f"w{i}" for i in range(60)] + ["Ünder", "ΣΑΣ", "字", "x9"]
 
@@ -82,3 +82,52 @@ def test_empty_tables_and_long_masks(spark):
     assert leaks.leaked(d, i).count() == 0 and leaks.leaked(d.where("false"), i).count() == 0
     with pytest.raises(ValueError):
         leaks.leaked(d, i, 8)
+
+
+def best_overlap(w, v, most_changed=2):
+    """Longest aligned stretch, equal at both ends, with few changed words; over all alignments."""
+    best = 0
+    for shift in range(-len(v) + 1, len(w)):
+        same = [w[j + shift] == v[j] for j in range(len(v)) if 0 <= j + shift < len(w)]
+        for a in range(len(same)):
+            changed = 0
+            for b in range(a, len(same) if same[a] else a):
+                changed += not same[b]
+                if changed > most_changed:
+                    break
+                if same[b]:
+                    best = max(best, b + 1 - a)
+    return best
+
+
+def test_every_two_changed_words_are_tolerated(spark, tmp_path):
+    item = [f"t{i}" for i in range(30)]
+    docs, expected = [], {}
+    for n in range(8, 15):
+        for a in range(1, n - 1):
+            for b in range(a + 1, n - 1):
+                words = item[5 : 5 + n]
+                words[a], words[b] = "other", "another"
+                expected[len(docs)] = (n, 2)
+                docs.append((len(docs), "pre " + " ".join(words) + " end"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {r.doc_id: (r.overlap, r.changed) for r in queries.p7_overlaps(spark, str(tmp_path)).collect()} == expected
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(j, [f"w{rng.randrange(25)}" for _ in range(rng.randint(6, 25))]) for j in range(10)]
+    docs = []
+    for i in range(60):
+        w = [f"w{rng.randrange(25)}" for _ in range(4)]
+        for _ in range(2):
+            v = [*rng.choice(items)[1]]
+            for _ in range(rng.randint(0, 5)):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(25)}"
+            w += v
+        docs.append((i, w))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    e = spark.createDataFrame([(j, " ".join(v)) for j, v in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in leaks.overlaps(d, e, masks=leaks.PAIR_MASKS).where("overlap >= 8").collect()}
+    assert got == {(i, j): n for i, w in docs for j, v in items if (n := best_overlap(w, v)) >= 8}

@@ -115,9 +115,10 @@ def prune_adjacencies(kmers: DataFrame) -> DataFrame:
     return kmers.select("kmer", "n").join(bits, "kmer", "left").select("kmer", "n", F.coalesce("pred", F.lit(0)).alias("pred"), F.coalesce("succ", F.lit(0)).alias("succ"))
 
 
-def histogram(kmers: DataFrame, cap: int = 100) -> DataFrame:
-    """(n, kmers): how many k-mers occur n times, all above the cap together."""
-    return kmers.groupBy(F.least(F.col("n"), F.lit(cap)).cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("kmers"))
+def histogram(kmers: DataFrame, cap: int | None = 100) -> DataFrame:
+    """(n, kmers): how many k-mers occur n times, all above the cap together; without a cap every n by itself."""
+    n = F.col("n") if cap is None else F.least(F.col("n"), F.lit(cap))
+    return kmers.groupBy(n.cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
 def affix_spectrum(kmers: DataFrame) -> DataFrame:
@@ -154,7 +155,8 @@ def shaped_kmers(reads: DataFrame, shape: str) -> DataFrame:
 def genome_size(hist: DataFrame) -> DataFrame:
     """(peak, total, size): spectrum peak beyond the first valley, k-mers from there, and their ratio.
 
-    The spectrum is a table of at most ``cap`` rows, so ordering it in one task is bounded.
+    ``hist`` must have no cap: n of a shared bin is no count. It has one row per distinct n, fewer than
+    the square root of twice the k-mers read, so it is ordered in one task.
     """
     from pyspark.sql import Window
 

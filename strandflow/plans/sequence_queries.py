@@ -82,7 +82,7 @@ def shaped_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genome_size(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.genome_size(kmer_histogram(spark, d))
+    return kmers.genome_size(kmers.histogram(_table(spark, d, 1), cap=None))
 
 
 def canonical_forms(spark: SparkSession, d: str) -> DataFrame:

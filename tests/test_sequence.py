@@ -154,3 +154,13 @@ def test_place_reads_and_paths(spark, rows):
     assert {r.read_id: r.n_kmers for r in parts.collect()} == {0: 59, 1: 69, 2: 59}
     paths = {r.read_id: (r.off, len(r.edges)) for r in placement.read_paths(parts, edges).collect()}
     assert paths == {0: (0, 1), 1: (40, 1), 2: (30, 1)}
+
+
+def test_genome_size_counts_hot_kmers_in_full(spark, tmp_path):
+    from strandflow.plans import sequence_queries
+
+    seqs = [letters(71, 30)] + [letters(72, 60)] * 150 + [letters(73, 30)] * 400
+    reads_of(spark, seqs).write.parquet(str(tmp_path / "oreads.parquet"))
+    total = 7 + 37 * 150 + 7 * 400
+    assert tuple(sequence_queries.genome_size(spark, str(tmp_path)).first()) == (150, total, total // 150)
+    assert sorted(map(tuple, sequence_queries.kmer_histogram(spark, str(tmp_path)).collect())) == [(1, 7), (100, 44)]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import cleaning, graph, kmers, lines, placement, stats
+from strandflow.operators import cleaning, graph, kmers, lines, placement, repath, stats
 from strandflow.sources import sinks
 
 
@@ -22,6 +22,7 @@ class Settings:
     """Thresholds of the stages."""
 
     k: int = 60
+    k2: int = 200
     min_qual: int = 7
     min_freq: int = 4
     max_hang: int = 100
@@ -76,42 +77,56 @@ class Pipeline:
         edges = self.load("edges").where("not circle")
         self._save("parts", placement.place_reads(self.load("reads"), edges, self.settings.k))
         self._save("paths", placement.read_paths(self.load("parts"), edges))
+        # all later stages stand on the graph of the larger k; paths of fewer letters than that end here
+        larger, moved = repath.repath(self.load("paths"), edges, self.settings.k, self.settings.k2)
+        self._save("edges_k2", larger)
+        self._save("paths_k2", moved)
 
     def _clean(self) -> None:
         s = self.settings
-        edges = self.load("edges").where("not circle")
-        steps = placement.path_steps(self.load("paths"))
+        edges = self.load("edges_k2").where("not circle")
+        steps = placement.path_steps(self.load("paths_k2"))
         edges = cleaning.delete_edges(edges, cleaning.unsupported_branches(edges, placement.edge_support(steps, edges)))
         self._save("clean_supported", edges)
         edges = self.load("clean_supported")
+        edges = cleaning.delete_edges(edges, cleaning.popped_bubbles(cleaning.simple_bubbles(edges), self._weights(steps, edges)))
+        self._save("clean_popped", edges)
+        edges = self.load("clean_popped")
         edges = cleaning.delete_edges(edges, cleaning.hanging_ends(edges, s.max_hang, s.hang_ratio))
         self._save("clean_unhung", edges)
         edges = self.load("clean_unhung")
         edges = cleaning.delete_edges(edges, cleaning.small_components(edges, s.max_component_edge, s.min_component))
         self._save("clean_edges", edges)
 
+    @staticmethod
+    def _weights(steps: DataFrame, edges: DataFrame) -> DataFrame:
+        """(edge, weight): reads on the edge or its inverse, each once."""
+        on = steps.select("edge", "read_id")
+        mirrored = on.join(edges.select("edge", "inv"), "edge").select(F.col("inv").alias("edge"), "read_id")
+        return placement.path_index(on.unionByName(mirrored)).withColumnRenamed("n_reads", "weight")
+
     def _lines(self) -> None:
         edges = self.load("clean_edges")
         self._save("cells", lines.find_cells(edges))
         self._save("lines", lines.find_lines(edges, self.load("cells")))
-        steps = placement.path_steps(self.load("paths"))
+        steps = placement.path_steps(self.load("paths_k2"))
         sizes = lines.line_lengths(self.load("lines"), edges).join(lines.line_pairs(self.load("lines"), edges, steps), "line", "left")
         self._save("line_stats", sizes.select("line", "len", F.coalesce("npairs", F.lit(0)).alias("npairs"), F.round(F.coalesce("npairs", F.lit(0)) / F.col("len"), 6).alias("cov")))
 
     def _links(self) -> None:
         of = self.load("lines").select("edge", "line").distinct()
-        steps = placement.path_steps(self.load("paths")).join(of, "edge").select("read_id", "line").distinct()
+        steps = placement.path_steps(self.load("paths_k2")).join(of, "edge").select("read_id", "line").distinct()
         self._save("line_links", placement.pair_links(steps, "line", "read_id"))
         self._save("links_accepted", placement.accepted_links(self.load("line_links"), self.settings.min_links))
 
     def _final(self) -> None:
         edges = self.load("clean_edges")
-        support = placement.edge_support(placement.path_steps(self.load("paths")), edges)
-        seqs = lines.line_sequences(self.load("lines"), edges, support, self.settings.k)
+        support = placement.edge_support(placement.path_steps(self.load("paths_k2")), edges)
+        seqs = lines.line_sequences(self.load("lines"), edges, support, self.settings.k2)
         sinks.fasta_lines(seqs, "line", "seq").write.mode("overwrite").text(self._path("lines.fasta"))
         sinks.gfa_segments(edges).unionByName(sinks.gfa_links(edges)).write.mode("overwrite").text(self._path("graph.gfa"))
         sinks.histogram_lines(kmers.histogram(self.load("kmers"))).write.mode("overwrite").text(self._path("kmers.freqs"))
-        sizes = self.load("line_stats").withColumn("bases", F.col("len") + self.settings.k - 1)
+        sizes = self.load("line_stats").withColumn("bases", F.col("len") + self.settings.k2 - 1)
         self._save("n50", stats.n50(sizes, "bases"))
         totals = [F.coalesce(F.sum(F.when(F.col("bases") >= n, F.col("bases"))), F.lit(0)).alias(f"total_{n}") for n in (1, 1_000, 10_000, 100_000)]
         self._save("totals", sizes.agg(*totals))

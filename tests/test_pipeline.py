@@ -59,3 +59,26 @@ def test_bad_stages(spark, tmp_path):
     for bad in ({"from_stage": 0}, {"from_stage": 3, "to_stage": 2}, {"to_stage": 8}, {}):
         with pytest.raises(ValueError):
             run.run(**bad)
+
+
+def test_larger_k_spans_a_repeat_and_weak_bubbles_are_popped(spark, tmp_path):
+    rng = random.Random(12)
+    text = [rng.choice("ACGT") for _ in range(600)]
+    text[400:430] = text[150:180]  # longer than k, shorter than k2
+    strong = "".join(text)
+    data = []
+    for i, a in enumerate(range(501)):
+        piece = strong[a : a + 100]
+        data.append((2 * i, piece if i % 2 else rc(piece), [40] * 100, "s"))
+    other = strong[:280] + rc(strong[280]) + strong[281:]
+    for i, a in enumerate((220, 225, 230)):
+        data.append((10_000 + 2 * i, other[a : a + 100], [40] * 100, "s"))
+    df = spark.createDataFrame(data, "read_id long, seq string, qual array<int>, sample string")
+    run = Pipeline(spark, str(tmp_path / "r"), Settings(k=24, k2=40, min_freq=2, max_component_edge=100, min_component=50))
+    run.run(df)
+    assert run.load("edges").count() > 2 and {len(r.src) for r in run.load("edges_k2").collect()} == {39}
+    assert run.load("clean_supported").count() > run.load("clean_popped").count()
+    fasta = spark.read.text(str(tmp_path / "r/lines.fasta")).collect()
+    longest = max(run.load("line_stats").collect(), key=lambda r: r.len).len + 39
+    whole = "".join(r.value for r in fasta if not r.value.startswith(">"))
+    assert longest > 550 and (strong[20:580] in whole or rc(strong[20:580]) in whole)

@@ -126,10 +126,11 @@ def affix_spectrum(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy(F.bit_count("pred").alias("n_pred"), F.bit_count("succ").alias("n_succ")).agg(F.count(F.lit(1)).alias("kmers"), F.sum("n").alias("total"))
 
 
-def bispectrum(a: DataFrame, b: DataFrame, cap: int = 20) -> DataFrame:
-    """(na, nb, kmers): k-mers by their occurrences in two sets, absent counting 0."""
+def bispectrum(a: DataFrame, b: DataFrame, cap: int | None = 20) -> DataFrame:
+    """(na, nb, kmers): k-mers by their occurrences in two sets, absent counting 0; all above the cap together, if there is one."""
     both = a.select("kmer", F.col("n").alias("na")).join(b.select("kmer", F.col("n").alias("nb")), "kmer", "full")
-    capped = [F.least(F.coalesce(c, F.lit(0)), F.lit(cap)).cast("bigint").alias(c) for c in ("na", "nb")]
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("na", "nb")}
+    capped = [(n if cap is None else F.least(n, F.lit(cap))).cast("bigint").alias(c) for c, n in counts.items()]
     return both.select(*capped).groupBy("na", "nb").agg(F.count(F.lit(1)).alias("kmers"))
 
 

@@ -54,9 +54,18 @@ def kmer_quality_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return kmers.quality_spectrum(_reads(spark, d), K)
 
 
-def kmer_bispectrum(spark: SparkSession, d: str) -> DataFrame:
+def _bispectrum(spark: SparkSession, d: str, cap: int | None) -> DataFrame:
     reads = _reads(spark, d)
-    return kmers.bispectrum(kmers.kmer_table(reads.where("sample like 'smpA%'"), K), kmers.kmer_table(reads.where("sample like 'smpB%'"), K))
+    return kmers.bispectrum(kmers.kmer_table(reads.where("sample like 'smpA%'"), K), kmers.kmer_table(reads.where("sample like 'smpB%'"), K), cap)
+
+
+def kmer_bispectrum(spark: SparkSession, d: str) -> DataFrame:
+    return _bispectrum(spark, d, 20)
+
+
+def kmer_bispectrum_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a bin for every pair of counts."""
+    return _bispectrum(spark, d, None)
 
 
 def kmer_affix_spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +176,7 @@ def gfa_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kmer_histogram, kmer_histogram_25, kmer_filtered, kmer_context, kmer_good_context, kmer_adjacency_pruned, quality_trim, kmer_quality_spectrum, kmer_bispectrum, kmer_affix_spectrum,
+        kmer_histogram, kmer_histogram_25, kmer_filtered, kmer_context, kmer_good_context, kmer_adjacency_pruned, quality_trim, kmer_quality_spectrum, kmer_bispectrum, kmer_bispectrum_exact, kmer_affix_spectrum,
         kmer_setops, shaped_kmer_counts, genome_size, canonical_forms, palindromes, read_gc, homopolymer_runs, homopolymer_capped, unipath_heads, unipaths, unipath_circles, graph_vertices,
         fork_classes, component_sizes, involution_violations, gfa_segments,
     )
@@ -229,6 +238,7 @@ SQL = {
     "kmer_quality_spectrum": f"""with {READS} select min_qual, count(*) kmers from (select case when len(qual) >= p + {K} then list_min(qual[p + 1 : p + {K}]) else 0 end min_qual
         from (select qual, unnest(range(length(seq) - {K - 1})) p from reads where length(seq) >= {K})) group by 1""",
     "kmer_bispectrum": f"{_AB} select least(coalesce(a.n, 0), 20) na, least(coalesce(b.n, 0), 20) nb, count(*) kmers from a full join b using (kmer) group by 1, 2",
+    "kmer_bispectrum_exact": f"{_AB} select coalesce(a.n, 0) na, coalesce(b.n, 0) nb, count(*) kmers from a full join b using (kmer) group by 1, 2",
     "kmer_affix_spectrum": f"{_ONE} select bit_count(pred) n_pred, bit_count(succ) n_succ, count(*) kmers, cast(sum(n) as bigint) total from kt group by 1, 2",
     "kmer_setops": f"""{_AB} select 'both' part, count(*) kmers from (select kmer from a intersect select kmer from b) union all select 'a_only', count(*) from (select kmer from a except select kmer from b)
         union all select 'b_only', count(*) from (select kmer from b except select kmer from a) union all select 'any', count(*) from (select kmer from a union select kmer from b)""",

@@ -164,3 +164,13 @@ def test_genome_size_counts_hot_kmers_in_full(spark, tmp_path):
     total = 7 + 37 * 150 + 7 * 400
     assert tuple(sequence_queries.genome_size(spark, str(tmp_path)).first()) == (150, total, total // 150)
     assert sorted(map(tuple, sequence_queries.kmer_histogram(spark, str(tmp_path)).collect())) == [(1, 7), (100, 44)]
+
+
+def test_exact_bispectrum_keeps_high_counts_apart(spark, tmp_path):
+    from strandflow.plans import sequence_queries
+
+    x, y = letters(81, 30), letters(82, 30)
+    data = [(i, x if i < 55 else y, [40] * 30, "smpA1" if i < 25 or 55 <= i < 85 else "smpB1") for i in range(90)]
+    spark.createDataFrame(data, "read_id long, seq string, qual array<int>, sample string").write.parquet(str(tmp_path / "oreads.parquet"))
+    assert sorted(map(tuple, sequence_queries.kmer_bispectrum_exact(spark, str(tmp_path)).collect())) == [(25, 30, 7), (30, 5, 7)]
+    assert sorted(map(tuple, sequence_queries.kmer_bispectrum(spark, str(tmp_path)).collect())) == [(20, 5, 7), (20, 20, 7)]

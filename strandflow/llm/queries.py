@@ -76,7 +76,7 @@ _NODES = """
   from (select node_id, batch_id, upper(kmer) u, reverse(translate(upper(kmer), 'ACGT', 'TGCA')) r, kc, greatest(coalesce(n, 1), 1) n
         from kmer_nodes where kc is not null and regexp_full_match(kmer, '[ACGTacgt]{24}'))"""
 _SHARED = """
-  with r as (select distinct read_id, seq from oreads where seq is not null and length(seq) >= 50),
+  with r as (select distinct read_id, seq from oreads where read_id is not null and length(seq) >= 50),
   w as (select read_id, p, substr(seq, p + 1, 50) s from (select read_id, seq, unnest(range(length(seq) - 49)) p from r)),
   hit as (select read_id, p from w where s in (select s from w group by s having min(read_id) < max(read_id))),
   isl as (select read_id, p, sum(case when p <= prev + 50 then 0 else 1 end) over (partition by read_id order by p) g
@@ -86,6 +86,11 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), la
 
 SQL = {
     "p2_found": f"{_SHARED} select read_id, span_start, span_stop from span",
+    "p2_share": f"""{_SHARED}, len as (select read_id, max(length(seq)) n_letters from (select distinct read_id, seq from oreads where read_id is not null and seq is not null) group by 1),
+        size as (select cast(50 * pow(2, i) as int) z from range(12) t(i)), wz as (select distinct read_id, z, substr(seq, p + 1, z) s from (select read_id, seq, z, unnest(range(length(seq) - z + 1)) p from r join size on length(seq) >= z)),
+        top as (select read_id, max(z) longest from wz where (z, s) in (select (z, s) from wz group by z, s having count(*) > 1) group by 1),
+        sh as (select read_id, sum(span_stop - span_start) n_shared from span group by 1)
+        select read_id, cast(n_letters as int) n_letters, cast(coalesce(n_shared, 0) as bigint) n_shared, coalesce(longest, 0) longest from len left join sh using (read_id) left join top using (read_id)""",
     "p3_found": f"select kmer, kc from ({_NODES}) group by kmer, kc having sum(n) < 4 or count(distinct batch_id) > 20",
     "p3_counts": f"select kmer, kc, cast(sum(n) as bigint) total, count(distinct batch_id) records, sum(n) < 4 too_rare, count(distinct batch_id) > 20 too_common from ({_NODES}) group by kmer, kc",
     "p3_terms": f"""with w as (select doc_id, {_WORDS} w from documents), s as (select doc_id, unnest(range(1, len(w) + 1)) i, w from w),

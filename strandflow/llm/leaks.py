@@ -27,6 +27,8 @@ MASKS = ("110110110110", "101101101101", "011011011011")
 #: is never ignored, as a stretch begins with an equal word.
 PAIR_MASKS = tuple("1" + "".join("0" if (p - i) % 7 in (0, 1, 3) else "1" for p in range(7)) for i in range(7))
 BLOCK_WORDS = 2_000_000
+#: Words and hits that a task lays side by side at a time.
+ROOM = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -72,28 +74,56 @@ class Items:
             self.seeds.append((seeds[order], owner[starts][order], place[starts][order]))
 
 
-def _stretches(same: np.ndarray, most_changed: int) -> tuple[int, int, int]:
-    """Longest run of equal words; longest stretch, equal at both ends, with few changed ones, and how many these are."""
-    bad = np.flatnonzero(~same)
-    edges = np.concatenate([[-1], bad, [len(same)]])
-    run = int(np.max(np.diff(edges)) - 1)
-    best, changed = run, 0
+def _stretches(same: np.ndarray, size: np.ndarray, most_changed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of alignments laid end to end (``size`` words each, ``same``: equal or not): the longest run of
+    equal words, the longest stretch, equal at both ends, with few changed words, and how many these are.
+    """
+    n = len(size)
+    stop = np.cumsum(size)
+    # edges of an alignment: one before it, each changed word, one behind it
+    changed = np.flatnonzero(~same)
+    of = np.searchsorted(stop, changed, "right")
+    owner = np.concatenate([np.arange(n), of, np.arange(n)])
+    place = np.concatenate([np.full(n, -1), changed - (stop - size)[of], size])
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    run = np.zeros(n, np.int64)
+    inner = owner[1:] == owner[:-1]
+    np.maximum.at(run, owner[1:][inner], (place[1:] - place[:-1] - 1)[inner])
+    best, few = run.copy(), np.zeros(n, np.int64)
     for k in range(1, most_changed + 1):
-        if len(edges) <= k + 1:
-            break
         # between edges i and i+k+1 lie k changed words; both ends must be equal words
-        ok = (edges[1:-k] - edges[: -k - 1] > 1) & (edges[k + 1 :] - edges[k:-1] > 1) if k + 1 < len(edges) else np.zeros(0, bool)
-        wide = (edges[k + 1 :] - edges[: -k - 1] - 1)[ok]
-        if len(wide) and int(wide.max()) > best:
-            best, changed = int(wide.max()), k
-    return run, best, changed
+        if len(place) <= k + 1:
+            break
+        ok = (owner[k + 1 :] == owner[: -k - 1]) & (place[1 : len(place) - k] - place[: -k - 1] > 1) & (place[k + 1 :] - place[k:-1] > 1)
+        wide = np.zeros(n, np.int64)
+        np.maximum.at(wide, owner[k + 1 :][ok], (place[k + 1 :] - place[: -k - 1] - 1)[ok])
+        longer = wide > best
+        best[longer], few[longer] = wide[longer], k
+    return run, best, few
+
 
+def _parts(count: np.ndarray, room: int) -> Iterator[slice]:
+    """Slices of a row of counts that sum to ``room`` or hold one count."""
+    total = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + room, "right")))
+        yield slice(at, stop)
+        at = stop
 
-def _hits(values: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, items: Items) -> set[tuple[int, int, int]]:
-    """(document row, item, place in document less place in item) of every seed that both have."""
-    found: set[tuple[int, int, int]] = set()
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1... (count[0] of them), start[1]..."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _hits(values: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.ndarray, items: Items, room: int) -> np.ndarray:
+    """Rows (document row, item, place in document less place in item) of every seed that both have, each once."""
+    found, more = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
     if not len(items.known) or not len(values):
-        return found
+        return np.zeros((0, 3), np.int64)
+    least, width = int(items.size.max()), int(items.size.max() + size.max() + 1)
     slot = np.minimum(np.searchsorted(items.known, values), len(items.known) - 1)
     usable = items.known[slot] == values
     for mask, (seeds, of, off) in zip(items.masks, items.seeds):
@@ -106,18 +136,20 @@ def _hits(values: np.ndarray, owner: np.ndarray, place: np.ndarray, size: np.nda
                 ok &= usable[i : i + n]
         starts = np.flatnonzero(ok)
         own = _seed(values, starts, mask)
-        low, high = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
-        count = high - low
+        low = np.searchsorted(seeds, own, "left")
+        count = np.searchsorted(seeds, own, "right") - low
         hit = np.flatnonzero(count)
-        if not len(hit):
-            continue
-        k = np.repeat(low[hit], count[hit]) + np.arange(count[hit].sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-        s = np.repeat(starts[hit], count[hit])
-        found.update(zip(owner[s].tolist(), of[k].tolist(), (place[s] - off[k]).tolist()))
-    return found
+        for part in _parts(count[hit], room):
+            h = hit[part]
+            k, s = _spread(low[h], count[h]), np.repeat(starts[h], count[h])
+            more.append((owner[s] * len(items.ids) + of[k]) * width + place[s] - off[k] + least)
+            if sum(map(len, more)) > max(room, len(found)):
+                found, more = np.unique(np.concatenate([found, *more])), []
+    pair, shift = np.divmod(np.unique(np.concatenate([found, *more])), width)
+    return np.stack([*np.divmod(pair, len(items.ids)), shift - least], axis=1)
 
 
-def _scan(shared, id_col: str, item_col: str, id_type: pa.DataType, item_type: pa.DataType, most_changed: int):
+def _scan(shared, item_type: pa.DataType, most_changed: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for batch in batches:
@@ -127,20 +159,16 @@ def _scan(shared, id_col: str, item_col: str, id_type: pa.DataType, item_type: p
             at = np.concatenate([[0], np.cumsum(size)])
             owner = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(values)) - at[owner]
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for row, item, shift in _hits(values, owner, place, size, items):
-                a = max(shift, 0)
-                b = min(int(size[row]), shift + int(items.size[item]))
-                doc = values[at[row] + a : at[row] + b]
-                own = items.words[items.at[item] + a - shift : items.at[item] + b - shift]
-                found = _stretches(doc == own, most_changed)
-                old = best.get((row, item), (0, 0, 0))
-                best[row, item] = (max(old[0], found[0]), *max(old[1:], found[1:], key=lambda x: (x[0], -x[1])))
-            if best:
-                rows = pa.array([r for r, _ in best])
-                out = [batch.column(0).take(rows), pa.array([items.ids[i] for _, i in best], item_type)]
-                out += [pa.array([v[j] for v in best.values()], pa.int32()) for j in range(3)]
-                yield pa.RecordBatch.from_arrays(out, names=["doc", "item", "run", "overlap", "changed"])
+            hits = _hits(values, owner, place, size, items, room)
+            row, item, shift = hits.T
+            first = np.maximum(shift, 0)
+            length = np.minimum(size[row], shift + items.size[item]) - first
+            for part in _parts(length, room):
+                r, i, n = row[part], item[part], length[part]
+                same = values[_spread(at[r] + first[part], n)] == items.words[_spread(items.at[i] + first[part] - shift[part], n)]
+                found = _stretches(same, n, most_changed)
+                out = [batch.column(0).take(pa.array(r)), pa.array([items.ids[x] for x in i.tolist()], item_type)]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(x.astype(np.int32)) for x in found], names=["doc", "item", "run", "overlap", "changed"])
 
     return run
 
@@ -174,7 +202,7 @@ def overlaps(
     for b in range(blocks):
         block = own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # at most block_words words or so
         shared = spark.sparkContext.broadcast(Items([r.id for r in block], [r.w for r in block], masks))
-        part = texts.mapInArrow(_scan(shared, doc_id, item_id, None, item_type, most_changed), f"doc {kinds[0]}, item {kinds[1]}, run int, overlap int, changed int")
+        part = texts.mapInArrow(_scan(shared, item_type, most_changed, ROOM), f"doc {kinds[0]}, item {kinds[1]}, run int, overlap int, changed int")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("doc", "item").agg(F.max("run").alias("run"), F.max(F.struct("overlap", (-F.col("changed")).alias("less"))).alias("o"))
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "run", "o.overlap", (-F.col("o.less")).alias("changed"))

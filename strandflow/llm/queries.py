@@ -55,8 +55,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps of eight words or more, a changed word or two being tolerated."""
-    return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), masks=leaks.PAIR_MASKS, most_changed=2).where("overlap >= 8")
+    """The longest overlap of document and item, of eight words or more, a changed word or two being tolerated."""
+    return leaks.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), masks=leaks.PAIR_MASKS, most_changed=2).where("overlap >= 8").drop("run")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,4 +100,13 @@ SQL = {
         e as (select item_id, unnest(range(1, len(w) - 10)) i, w from (select item_id, {_WORDS} w from eval_items) where len(w) >= 12),
         dh as (select doc_id, array_to_string(w[i:i+11], ' ') s from d), eh as (select item_id, array_to_string(w[i:i+11], ' ') s from e)
         select distinct doc_id, item_id from dh join eh using (s)""",
+    "p7_overlaps": f"""with d as (select doc_id, w, unnest(range(1, len(w))) i from (select doc_id, {_WORDS} w from documents)), e as (select item_id, w, unnest(range(1, len(w))) j from (select item_id, {_WORDS} w from eval_items)),
+        a as (select distinct doc_id, item_id, i - j s, d.w dw, e.w ew from d join e on d.w[i] = e.w[j] and d.w[i + 1] = e.w[j + 1]),
+        q as (select doc_id, item_id, s, dw, ew, unnest(range(greatest(1, 1 + s), least(len(dw), len(ew) + s) + 1)) p from a),
+        m as (select doc_id, item_id, s, p, p - row_number() over (partition by doc_id, item_id, s order by p) g from q where dw[p] = ew[p - s]),
+        r as (select doc_id, item_id, s, min(p) a, max(p) + 1 b, count(*) n from m group by doc_id, item_id, s, g),
+        l as (select doc_id, item_id, a, b, n, lead(b) over w b1, lead(n) over w n1, lead(b, 2) over w b2, lead(n, 2) over w n2 from r window w as (partition by doc_id, item_id, s order by a)),
+        o as (select doc_id, item_id, b - a len, 0 c from l union all select doc_id, item_id, b1 - a, b1 - a - n - n1 from l where b1 - a - n - n1 <= 2
+          union all select doc_id, item_id, b2 - a, b2 - a - n - n1 - n2 from l where b2 - a - n - n1 - n2 <= 2)
+        select doc_id, item_id, cast(max(len) as int) overlap, cast(arg_min(c, (-len, c)) as int) changed from o where len >= 8 group by doc_id, item_id""",
 }

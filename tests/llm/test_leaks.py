@@ -67,16 +67,24 @@ def test_stretches_against_brute_force():
     import numpy as np
 
     rng = random.Random(3)
-    for _ in range(500):
-        same = np.array([rng.random() < 0.7 for _ in range(rng.randint(1, 25))])
-        run, best, changed = leaks._stretches(same, 2)
-        spans_ = [(b - a, int((~same[a:b]).sum())) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and same[b - 1]]
+    rows = [[rng.random() < 0.7 for _ in range(rng.randint(1, 25))] for _ in range(500)]
+    found = leaks._stretches(np.array([x for r in rows for x in r]), np.array([len(r) for r in rows]), 2)
+    for same, run, best, changed in zip(rows, *(x.tolist() for x in found)):
+        spans_ = [(b - a, same[a:b].count(False)) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and same[b - 1]]
         assert run == max([n for n, c in spans_ if c == 0], default=0)
         assert best == max([n for n, c in spans_ if c <= 2], default=0)
         if best:
             assert changed == min(c for n, c in spans_ if n == best)
 
 
+def test_one_word_over_and_over(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ROOM", 1000)
+    d = spark.createDataFrame([(1, "a " * 3000), (2, "b " * 3000)], "doc_id long, text string")
+    i = spark.createDataFrame([(j, "a " * (12 + j)) for j in range(20)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.run, r.overlap, r.changed) for r in leaks.overlaps(d, i).collect()}
+    assert got == {(1, j): (12 + j, 12 + j, 0) for j in range(20)}
+
+
 def test_empty_tables_and_long_masks(spark):
     d, i = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, item_id int"), spark.createDataFrame([], "item_id long, text string")
     assert leaks.leaked(d, i).count() == 0 and leaks.leaked(d.where("false"), i).count() == 0

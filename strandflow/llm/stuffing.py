@@ -1,13 +1,21 @@
 """Keyword-stuffed and link-list pages, told by how their terms recur.
 
 A text is read as a row of terms: words, and marks such as a link, a tag or a price. Around each
-term a lag window is laid. Positional autocorrelation: a content word counts as recurring if the
-same word stands at any lag up to 40, and as close if at any lag up to 12; the shares of these in
-the window are unnaturally high for strung keywords. Sentences that repeat come back in whole
-phrases with function words in them instead, or hold more function words, and are let off for that. Function words: a long row
-of distinct nouns or marks that holds hardly any is a list. The characters of windows of either
-kind are summed, and a page is stuffed if they are more than half of its characters. Log lines,
-tables of figures, sequences and commands are told by their form and never counted.
+term a window is laid, and three things are measured in it.
+
+Autocorrelation by position: at which of the lags 1 to 40 does the row of terms agree with itself.
+Of the content words of strung keywords nearly all agree at some lag, and most at one up to 12.
+Recurrence gaps: a content word lies between its last and its next occurrence, at any distance. In
+prose words come in bursts, so the two gaps are unlike; where words are strung from a stock they are
+much alike, however large the stock. Sentences that repeat come back in whole phrases with function
+words in them, or hold more function words, and are let off for either.
+Function words: a long row of distinct nouns or marks that holds hardly any is a list. Words are
+listed for four languages; a text in another one has none of them, so it is a list only where its
+words do not stand in sentences, or come back.
+
+The characters of windows of any kind are summed, and a page is stuffed if they are more than half
+of its characters. Log lines, tables of figures, sequences and commands are told by their form and
+not counted, unless their words are the keywords of a list.
 
 A text of fewer than LEAST_TERMS terms does not fill a window: a short sentence may well hold no
 function word. It is judged as a whole, by what makes a list: links or tags that follow each other,
@@ -41,11 +49,22 @@ HALF_WINDOW = 12
 LAG = 40
 LEAST_FUNCTION_SHARE = 0.13
 MOST_FUNCTION_SHARE = 0.38
+#: A text with a smaller share of function words than this may be in an unlisted language.
+OWN_FUNCTION_SHARE = 0.2
 LEAST_RECURRING = 0.85
 CLOSE_LAG = 12
 LEAST_CLOSE = 0.6
 MOST_PHRASES = 0.4
 PHRASE = 5
+#: Of the content words of a window, how many must lie between gaps that are alike, and how alike these are.
+LEAST_REGULAR = 0.5
+MOST_UNLIKE = 0.34
+#: Of the words and marks of a window, how many must be words in sentences for prose of an unlisted language, and how many may agree at some lag.
+LEAST_IN_SENTENCES = 0.8
+MOST_AGREEING = 0.6
+LEAST_SENTENCE = 4
+#: Rows of a table under one name of several words that make it a keyword.
+KEYWORD_ROWS = 4
 LEAST_TERMS = 20
 # For texts of fewer terms: two links or tags make a list; of other entries, and of returns of a keyword, it takes four.
 LEAST_LINKS = 2
@@ -77,10 +96,12 @@ class Reader:
             r"\W*(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d:\d\d\b.*"  # log line
             r"|\s*[ACGTUNacgtun]{15,}\s*"  # sequence
             r"|\s*>[^\s>]\S*(?:\s\S+)?\s*"  # its heading
-            r"|\s*\$\s.*"  # command
-            r"|[^,;|\t]{1,40}(?:\s*[,;|\t]\s*[\d.,%]+){2,}\s*",  # row of a table
+            r"|\s*\$\s(?=.*(?:(?:^|\s)--?\w|[/=<>|&]|\w\.\w)).*",  # command, with an option, a path or an assignment
             regex.S,
         )
+        self.row = regex.compile(r"([^,;|\t]{1,40})(?:\s*[,;|\t]\s*[\d.,%]+){2,}\s*", regex.S)  # row of a table
+        self.sentences = regex.compile(r"[\p{Lu}\p{Lo}][^.!?…。！？]*+(?:\.(?=\w)[^.!?…。！？]*+)*+[.!?…。！？]", regex.S)
+        self.marks = regex.compile(r"https?:|www\.|[<>★☆#€$£|•·»›\t;]|\(\d+\)|\s[*/]\s")
         self.figure = regex.compile(r"\d[\d.,:]*%?")
         self.breaks = regex.compile(r"(\r\n|\r|\n)")
         self.separators = regex.compile(r"[\r\n;|•·»›、，；]|,(?!\d)|\s[-–*/>]\s")
@@ -106,9 +127,10 @@ class Reader:
         sizes: list[int] = []
         pieces = self.breaks.split(text)
         known = self.known
+        keywords = self._keyword_rows(pieces)
         for i in range(0, len(pieces), 2):
             body = pieces[i]
-            if not body or self.form.fullmatch(body):
+            if not body or self._formed(body, keywords):
                 continue
             parts = self.term.split(body)
             if len(parts) == 1:
@@ -120,9 +142,48 @@ class Reader:
             looked += [known.get(t) or self._look(t) for t in parts[1::2]]
         return looked, sizes
 
+    def _keyword_rows(self, pieces: list[str]) -> set[str]:
+        """Names of several words, without a digit, under which a text has many rows of figures."""
+        names: dict[str, int] = {}
+        for body in pieces[::2]:
+            if body and body[-1] in "0123456789.,% \t" and (m := self.row.fullmatch(body)):
+                names[m[1]] = names.get(m[1], 0) + 1
+        return {x for x, n in names.items() if n >= KEYWORD_ROWS and " " in x.strip() and not any(c.isdigit() for c in x)}
+
+    def _formed(self, body: str, keywords: set[str]) -> bool:
+        if self.form.fullmatch(body):
+            return True
+        m = self.row.fullmatch(body) if body[-1] in "0123456789.,% \t" else None
+        return m is not None and m[1] not in keywords
+
+    def in_sentences(self, text: str) -> list[bool]:
+        """For each term that ``read`` gives, whether it stands in a sentence.
+
+        A sentence begins with a capital, or a letter of a script that has none, ends with a mark of
+        its own, has LEAST_SENTENCE words at least, more than four for each comma or line, and no mark of a list.
+        """
+        spans = []
+        for m in self.sentences.finditer(text):
+            # where words are written together, two letters stand for one
+            words = sum(max(1, len(t) // 2 if t[0].lower() == t[0].upper() else 1) for t in self.term.findall(m[0]) if t[0].isalpha())
+            if not self.marks.search(m[0]) and words >= LEAST_SENTENCE and words > 4 * len(self.separators.findall(m[0])):
+                spans.append(m.span())
+        out: list[bool] = []
+        pieces = self.breaks.split(text)
+        keywords = self._keyword_rows(pieces)
+        start = at = 0
+        for i, body in enumerate(pieces):
+            if i % 2 == 0 and body and not self._formed(body, keywords):
+                for m in self.term.finditer(body):
+                    while at < len(spans) and spans[at][1] <= start + m.start():
+                        at += 1
+                    out.append(at < len(spans) and spans[at][0] <= start + m.start())
+            start += len(body)
+        return out
+
     def entries(self, text: str) -> int:
         """How many entries a short text lists between separators; 0 if any of it is no short entry or has a known form."""
-        if self.sentence.search(text) or any(b and self.form.fullmatch(b) for b in self.breaks.split(text)[::2]):
+        if self.sentence.search(text) or any(b and self._formed(b, set()) for b in self.breaks.split(text)[::2]):
             return 0
         found = 0
         for piece in self.separators.split(text):
@@ -151,6 +212,17 @@ def _near(codes: np.ndarray, lag: int) -> np.ndarray:
     return out
 
 
+def _alike(codes: np.ndarray) -> np.ndarray:
+    """Whether the gaps to the last and to the next occurrence of the same code are alike, at any distance."""
+    order = np.argsort(codes, kind="stable")
+    gap, same = np.diff(order), codes[order][1:] == codes[order][:-1]
+    out = np.zeros(len(codes), dtype=bool)
+    if len(gap) > 1:
+        a, b = gap[:-1], gap[1:]
+        out[order[1:-1]] = same[:-1] & same[1:] & (np.abs(a - b) <= MOST_UNLIKE * (a + b))
+    return out
+
+
 def _phrases(code: np.ndarray, func: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether a term lies in a phrase with a function word that comes back in its text."""
     out = np.zeros(len(code), dtype=bool)
@@ -172,8 +244,10 @@ def _phrases(code: np.ndarray, func: np.ndarray, owner: np.ndarray) -> np.ndarra
     return out
 
 
-def stuffed_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether each term lies in a stuffed window. terms: (number, kind, function word); owner: its text, in order."""
+def stuffed_terms(terms: np.ndarray, owner: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Whether each term lies in a stuffed window. terms: (number, kind, function word); owner: its text,
+    in order; prose: it stands in a sentence of a text without function words.
+    """
     code, kind, func = terms[:, 0], terms[:, 1], terms[:, 2].astype(bool)
     at = np.arange(len(code))
     start = np.searchsorted(owner, owner, "left")
@@ -190,9 +264,13 @@ def stuffed_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
     functional = spread(func) / np.maximum(spread(kind != FIGURE), 1)
     recurring = spread(_near(own, LAG) & content) / words
     close = spread(_near(own, CLOSE_LAG) & content) / words
-    phrases = spread(_phrases(code, func, owner)) / (high - low)
-    listed = functional < LEAST_FUNCTION_SHARE
-    return listed | ((recurring >= LEAST_RECURRING) & (functional < MOST_FUNCTION_SHARE) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
+    phrases = spread(_phrases(code, func | prose, owner)) / (high - low)
+    phrased = (phrases >= MOST_PHRASES) & (close < LEAST_CLOSE)
+    told = spread(prose & (kind == WORD)) >= LEAST_IN_SENTENCES * np.maximum(spread(kind != FIGURE), 1)
+    listed = (functional < LEAST_FUNCTION_SHARE) & ~(told & ((recurring < MOST_AGREEING) | phrased))
+    regular = spread(_alike(own) & content) / words
+    strung = (regular >= LEAST_REGULAR) & (functional < MOST_FUNCTION_SHARE) & (phrases < MOST_PHRASES)
+    return listed | strung | ((recurring >= LEAST_RECURRING) & (functional < MOST_FUNCTION_SHARE) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
 
 
 def short_share(text: str, looked: list[tuple[int, int, bool]], sizes: list[int], reader: Reader) -> float:
@@ -230,6 +308,7 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
     """
     out = np.zeros(len(texts))
     terms: list[tuple[int, int, bool]] = []
+    prose: list[bool] = []
     sizes: list[int] = []
     owners: list[int] = []
     counts: list[int] = []
@@ -237,11 +316,11 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
     def judge() -> None:
         if terms:
             owner = np.repeat(np.array(owners), np.array(counts))
-            inside = stuffed_terms(np.array(terms, dtype=np.int64), owner)
+            inside = stuffed_terms(np.array(terms, dtype=np.int64), owner, np.array(prose, dtype=bool))
             stuffed = np.bincount(owner, weights=np.array(sizes) * inside, minlength=len(texts))
             for i in owners:
                 out[i] = stuffed[i] / len(texts[i])
-        for x in (terms, sizes, owners, counts):
+        for x in (terms, prose, sizes, owners, counts):
             x.clear()
         reader.forget()
 
@@ -250,6 +329,8 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
         if len(looked) >= LEAST_TERMS:
             terms += looked
             sizes += size
+            functional = sum(x[2] for x in looked) < OWN_FUNCTION_SHARE * sum(x[1] != FIGURE for x in looked)
+            prose += reader.in_sentences(text) if functional else [False] * len(looked)
             owners.append(i)
             counts.append(len(looked))
         elif looked:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandflow.llm import stuffing
@@ -109,3 +110,40 @@ def test_short_texts(text):
     reader = stuffing.Reader()
     assert 0 < len(reader.read(text)[0]) < stuffing.LEAST_TERMS
     assert (stuffing.stuffed_shares([text], reader)[0] > 0.5) == (text in SHORT_SPAM)
+
+
+PROSE = {
+    "ru": "Сегодня утром я вышел из дома и пошёл к реке, потому что погода была хорошая. На берегу сидели рыбаки, и один из них рассказал мне длинную историю о том, как он поймал большую щуку. Потом мы вместе пили чай и говорили о жизни. Вечером начался дождь, и все разошлись по домам.",
+    "pl": "Dzisiaj rano wyszedłem z domu i poszedłem nad rzekę, ponieważ pogoda była ładna. Na brzegu siedzieli rybacy, a jeden z nich opowiedział mi długą historię o tym, jak złowił wielkiego szczupaka. Potem razem piliśmy herbatę i rozmawialiśmy o życiu. Wieczorem zaczął padać deszcz i wszyscy wrócili do domów.",
+    "it": "Questa mattina sono uscito di casa e sono andato al fiume, perché il tempo era bello. Sulla riva sedevano dei pescatori, e uno di loro mi ha raccontato una lunga storia su come aveva preso un grosso luccio. Poi abbiamo bevuto insieme il tè e abbiamo parlato della vita.",
+    "tr": "Bu sabah evden çıktım ve nehre gittim çünkü hava güzeldi. Kıyıda balıkçılar oturuyordu ve içlerinden biri bana büyük bir turna balığını nasıl yakaladığını anlattı. Sonra birlikte çay içtik ve hayat hakkında konuştuk. Akşam yağmur başladı ve herkes evine döndü.",
+    "fi": "Tänä aamuna lähdin kotoa ja menin joelle, koska sää oli kaunis. Rannalla istui kalastajia, ja yksi heistä kertoi minulle pitkän tarinan siitä, miten hän oli saanut suuren hauen. Sitten joimme yhdessä teetä ja puhuimme elämästä. Illalla alkoi sataa ja kaikki lähtivät kotiin.",
+    "ja": "今朝、私は家を出て川へ行きました。天気がよかったからです。岸には漁師が座っていて、その一人が長い話をしてくれました。それから一緒にお茶を飲み、人生について話しました。夕方には雨が降り始め、みんな家に帰りました。私は長い間眠れず、過ぎた一日のことを考えました。次の日、友人から手紙が届きました。彼は遠い町に住んでいて、新しい仕事を始めたそうです。手紙には写真が三枚入っていました。一枚目は海、二枚目は古い橋、三枚目は小さな犬でした。返事を書こうとしましたが、言葉が見つかりませんでした。",
+}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_prose_of_unlisted_languages(lang):
+    """Neither once nor over and over is it a list; lists in the same languages are."""
+    shares = stuffing.stuffed_shares([PROSE[lang], (PROSE[lang] + " ") * 3, ", ".join(w.strip(",.") for w in PROSE[lang].split() if len(w) > 5) if lang != "ja" else "漁師、" * 40], stuffing.Reader())
+    assert shares[0] < 0.3 and (shares[1] < 0.3 or lang == "ja") and shares[2] > 0.5
+
+
+def test_keywords_in_the_form_of_tables_and_commands():
+    rows = "\n".join(f"cheap kit, {i}, {i * 3}" for i in range(60))
+    table = "\n".join(f"total reads {i}, {i}, {i * 3}" for i in range(60))
+    shares = stuffing.stuffed_shares([rows, "$ cheap sequencing kit buy now\n" * 60, table, "name, n50, edges\n" + "\n".join(f"total {x}, 4, 5" for x in "abcdefgh" * 8)], stuffing.Reader())
+    assert list(shares > 0.5) == [True, True, False, True]
+
+
+def test_a_large_stock_of_keywords_recurs_regularly():
+    rng = random.Random(7)
+    stock = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "pa", "ri", "so", "tu") for b in ("dex", "fan", "gol", "him", "jor", "kul")]
+    strung = []
+    for _ in range(20):
+        rng.shuffle(stock)
+        strung += [w + " for the" if i % 6 == 0 else w for i, w in enumerate(stock)]
+    assert stuffing.stuffed_shares([" ".join(strung)], stuffing.Reader())[0] > 0.5
+    rounds = np.concatenate([np.random.default_rng(i).permutation(54) for i in range(40)])
+    chance = np.random.default_rng(1).integers(0, 54, len(rounds))
+    assert stuffing._alike(np.arange(3000) % 54).mean() > 0.9 > stuffing._alike(rounds).mean() > 0.5 > 0.4 > stuffing._alike(chance).mean()

@@ -65,6 +65,7 @@ MOST_AGREEING = 0.6
 LEAST_SENTENCE = 4
 #: Rows of a table under one name of several words that make it a keyword.
 KEYWORD_ROWS = 4
+ENDS_OF_ROWS = frozenset("0123456789.,% \t")
 LEAST_TERMS = 20
 # For texts of fewer terms: two links or tags make a list; of other entries, and of returns of a keyword, it takes four.
 LEAST_LINKS = 2
@@ -73,6 +74,7 @@ MOST_ENTRY_TERMS = 4
 
 
 WORD, FIGURE, MARK = 0, 1, 2
+NEVER = 1 << 40
 #: Terms a worker remembers; beyond it the book starts anew, between texts.
 KEPT_TERMS = 1_000_000
 #: Terms that are judged at once.
@@ -127,12 +129,8 @@ class Reader:
         sizes: list[int] = []
         pieces = self.breaks.split(text)
         known = self.known
-        keywords = self._keyword_rows(pieces)
-        for i in range(0, len(pieces), 2):
-            body = pieces[i]
-            if not body or self._formed(body, keywords):
-                continue
-            parts = self.term.split(body)
+        for i in self._lines(pieces):
+            parts = self.term.split(pieces[i])
             if len(parts) == 1:
                 continue
             sizes.append(len(parts[0]) + len(parts[1]) + len(parts[2]))
@@ -142,19 +140,24 @@ class Reader:
             looked += [known.get(t) or self._look(t) for t in parts[1::2]]
         return looked, sizes
 
-    def _keyword_rows(self, pieces: list[str]) -> set[str]:
-        """Names of several words, without a digit, under which a text has many rows of figures."""
+    def _lines(self, pieces: list[str]) -> list[int]:
+        """Which lines are read: those of no known form, and rows of figures under a name of several
+        words, without a digit, that comes back as a name.
+        """
+        kept: list[tuple[int, str]] = []
         names: dict[str, int] = {}
-        for body in pieces[::2]:
-            if body and body[-1] in "0123456789.,% \t" and (m := self.row.fullmatch(body)):
-                names[m[1]] = names.get(m[1], 0) + 1
-        return {x for x, n in names.items() if n >= KEYWORD_ROWS and " " in x.strip() and not any(c.isdigit() for c in x)}
-
-    def _formed(self, body: str, keywords: set[str]) -> bool:
-        if self.form.fullmatch(body):
-            return True
-        m = self.row.fullmatch(body) if body[-1] in "0123456789.,% \t" else None
-        return m is not None and m[1] not in keywords
+        for i in range(0, len(pieces), 2):
+            body = pieces[i]
+            if not body or self.form.fullmatch(body):
+                continue
+            name = ""
+            if body[-1] in ENDS_OF_ROWS and (m := self.row.fullmatch(body)):
+                name = m[1]
+                if " " not in name.strip() or any(c.isdigit() for c in name):
+                    continue
+                names[name] = names.get(name, 0) + 1
+            kept.append((i, name))
+        return [i for i, name in kept if not name or names[name] >= KEYWORD_ROWS]
 
     def in_sentences(self, text: str) -> list[bool]:
         """For each term that ``read`` gives, whether it stands in a sentence.
@@ -170,10 +173,10 @@ class Reader:
                 spans.append(m.span())
         out: list[bool] = []
         pieces = self.breaks.split(text)
-        keywords = self._keyword_rows(pieces)
+        kept = set(self._lines(pieces))
         start = at = 0
         for i, body in enumerate(pieces):
-            if i % 2 == 0 and body and not self._formed(body, keywords):
+            if i in kept:
                 for m in self.term.finditer(body):
                     while at < len(spans) and spans[at][1] <= start + m.start():
                         at += 1
@@ -183,7 +186,7 @@ class Reader:
 
     def entries(self, text: str) -> int:
         """How many entries a short text lists between separators; 0 if any of it is no short entry or has a known form."""
-        if self.sentence.search(text) or any(b and self._formed(b, set()) for b in self.breaks.split(text)[::2]):
+        if self.sentence.search(text) or any(b and (self.form.fullmatch(b) or self.row.fullmatch(b)) for b in self.breaks.split(text)[::2]):
             return 0
         found = 0
         for piece in self.separators.split(text):
@@ -202,25 +205,19 @@ class Reader:
             self.numbers.clear()
 
 
-def _near(codes: np.ndarray, lag: int) -> np.ndarray:
-    """Whether the same code stands at most ``lag`` places away."""
+def _gaps(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance from each place to the last and to the next one of the same code; NEVER where there is none."""
     order = np.argsort(codes, kind="stable")
-    same = (codes[order][1:] == codes[order][:-1]) & (np.diff(order) <= lag)
-    out = np.zeros(len(codes), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    gap = np.where(codes[order][1:] == codes[order][:-1], np.diff(order), NEVER)
+    last, following = np.full(len(codes), NEVER), np.full(len(codes), NEVER)
+    last[order[1:]] = gap
+    following[order[:-1]] = gap
+    return last, following
 
 
-def _alike(codes: np.ndarray) -> np.ndarray:
-    """Whether the gaps to the last and to the next occurrence of the same code are alike, at any distance."""
-    order = np.argsort(codes, kind="stable")
-    gap, same = np.diff(order), codes[order][1:] == codes[order][:-1]
-    out = np.zeros(len(codes), dtype=bool)
-    if len(gap) > 1:
-        a, b = gap[:-1], gap[1:]
-        out[order[1:-1]] = same[:-1] & same[1:] & (np.abs(a - b) <= MOST_UNLIKE * (a + b))
-    return out
+def _alike(last: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Whether both gaps are there and much the same."""
+    return (last < NEVER) & (following < NEVER) & (np.abs(last - following) <= MOST_UNLIKE * (last + following))
 
 
 def _phrases(code: np.ndarray, func: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -262,13 +259,15 @@ def stuffed_terms(terms: np.ndarray, owner: np.ndarray, prose: np.ndarray) -> np
     own = code + owner * (int(code.max(initial=0)) + 1)
     words = np.maximum(spread(content), 1)
     functional = spread(func) / np.maximum(spread(kind != FIGURE), 1)
-    recurring = spread(_near(own, LAG) & content) / words
-    close = spread(_near(own, CLOSE_LAG) & content) / words
+    last, following = _gaps(own)
+    nearest = np.minimum(last, following)  # the least lag at which the row agrees with itself here
+    recurring = spread((nearest <= LAG) & content) / words
+    close = spread((nearest <= CLOSE_LAG) & content) / words
     phrases = spread(_phrases(code, func | prose, owner)) / (high - low)
     phrased = (phrases >= MOST_PHRASES) & (close < LEAST_CLOSE)
     told = spread(prose & (kind == WORD)) >= LEAST_IN_SENTENCES * np.maximum(spread(kind != FIGURE), 1)
     listed = (functional < LEAST_FUNCTION_SHARE) & ~(told & ((recurring < MOST_AGREEING) | phrased))
-    regular = spread(_alike(own) & content) / words
+    regular = spread(_alike(last, following) & content) / words
     strung = (regular >= LEAST_REGULAR) & (functional < MOST_FUNCTION_SHARE) & (phrases < MOST_PHRASES)
     return listed | strung | ((recurring >= LEAST_RECURRING) & (functional < MOST_FUNCTION_SHARE) & ((phrases < MOST_PHRASES) | (close >= LEAST_CLOSE)))
 
@@ -308,7 +307,6 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
     """
     out = np.zeros(len(texts))
     terms: list[tuple[int, int, bool]] = []
-    prose: list[bool] = []
     sizes: list[int] = []
     owners: list[int] = []
     counts: list[int] = []
@@ -316,11 +314,17 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
     def judge() -> None:
         if terms:
             owner = np.repeat(np.array(owners), np.array(counts))
-            inside = stuffed_terms(np.array(terms, dtype=np.int64), owner, np.array(prose, dtype=bool))
+            rows = np.array(terms, dtype=np.int64)
+            first = np.cumsum(counts) - counts
+            functional = np.add.reduceat(rows[:, 2], first) < OWN_FUNCTION_SHARE * np.add.reduceat(rows[:, 1] != FIGURE, first)
+            prose = np.zeros(len(rows), dtype=bool)
+            for k in np.flatnonzero(functional):
+                prose[first[k] : first[k] + counts[k]] = reader.in_sentences(texts[owners[k]])
+            inside = stuffed_terms(rows, owner, prose)
             stuffed = np.bincount(owner, weights=np.array(sizes) * inside, minlength=len(texts))
             for i in owners:
                 out[i] = stuffed[i] / len(texts[i])
-        for x in (terms, prose, sizes, owners, counts):
+        for x in (terms, sizes, owners, counts):
             x.clear()
         reader.forget()
 
@@ -329,8 +333,6 @@ def stuffed_shares(texts: list[str | None], reader: Reader) -> np.ndarray:
         if len(looked) >= LEAST_TERMS:
             terms += looked
             sizes += size
-            functional = sum(x[2] for x in looked) < OWN_FUNCTION_SHARE * sum(x[1] != FIGURE for x in looked)
-            prose += reader.in_sentences(text) if functional else [False] * len(looked)
             owners.append(i)
             counts.append(len(looked))
         elif looked:

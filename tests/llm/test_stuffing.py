@@ -146,4 +146,5 @@ def test_a_large_stock_of_keywords_recurs_regularly():
     assert stuffing.stuffed_shares([" ".join(strung)], stuffing.Reader())[0] > 0.5
     rounds = np.concatenate([np.random.default_rng(i).permutation(54) for i in range(40)])
     chance = np.random.default_rng(1).integers(0, 54, len(rounds))
-    assert stuffing._alike(np.arange(3000) % 54).mean() > 0.9 > stuffing._alike(rounds).mean() > 0.5 > 0.4 > stuffing._alike(chance).mean()
+    alike = lambda codes: stuffing._alike(*stuffing._gaps(codes)).mean()
+    assert alike(np.arange(3000) % 54) > 0.9 > alike(rounds) > 0.5 > 0.4 > alike(chance)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Pieces kept encoded by each Python worker; beyond it the store starts anew.
 KEPT_PIECES = 400_000
+#: Ids after which a batch is put out.
+BATCH_IDS = 1 << 22
 KEPT_PAIRS = 2_000_000
 
 
@@ -151,12 +153,15 @@ def encode_corpus(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
         for batch in batches:
             values: list[int] = []
             ends = [0]
-            for text in batch.column(1):
+            for row, text in enumerate(batch.column(1), 1):
                 values.extend(enc.encode(text.as_py()))
                 ends.append(len(values))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+                if len(values) >= room or row == batch.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row - len(ends) + 1, len(ends) - 1), ids], names=[id_col, "ids"])
+                    values, ends = [], [0]
 
+    room = BATCH_IDS
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = docs.schema[id_col].dataType.simpleString()
     return kept.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

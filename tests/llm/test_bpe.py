@@ -44,7 +44,9 @@ def test_bounded_stores(public, monkeypatch):
     assert enc.encode(text) == public(text) and len(enc._known) <= 3 and len(enc._pairs) <= 3
 
 
-def test_corpus(spark, public):
+@pytest.mark.parametrize("room", [1 << 22, 1, 40])
+def test_corpus(spark, public, monkeypatch, room):
+    monkeypatch.setattr(bpe, "BATCH_IDS", room)
     data = [(i, t, 1) for i, t in enumerate(CASES)] + [(90, None, 1), (91, CASES[4], 2), (91, CASES[4], 2)]
     df = spark.createDataFrame(data, "doc_id long, text string, ids int")
     got = sorted((r.doc_id, list(r.ids)) for r in bpe.encode_corpus(df, PATH, PATTERN).collect())

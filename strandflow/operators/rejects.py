@@ -140,8 +140,18 @@ def load_strict(found: DataFrame, fmt: RecordFormat) -> DataFrame:
 
 
 def _typed(found: DataFrame, fmt: RecordFormat) -> DataFrame:
-    cut_up = found.withColumn("f", fmt.split(F.col("line")))
-    return cut_up.select("offset", "print", "line", "f", *[make().alias(name) for name, make in fmt.columns])
+    """The records cut to fields and typed. Generators of one row keep the fields and the typed columns
+    in place: a plain projection would be put in again for each use of a column in the rules.
+    """
+    cut_up = found.select("offset", "print", F.explode(F.array(fmt.split(F.col("line")))).alias("f"))
+    return cut_up.select("offset", "print", "f", F.inline(F.array(F.struct(*[make().alias(name) for name, make in fmt.columns]))))
+
+
+def diagnosed(rest: DataFrame, fmt: RecordFormat) -> DataFrame:
+    """(offset, line, reason) of records that did not load; who asks for no reason does not even carry the line."""
+    cut_up = rest.withColumn("f", fmt.split(F.col("line")))
+    typed = cut_up.select("offset", "line", "f", *[make().alias(name) for name, make in fmt.columns])
+    return typed.select("offset", "line", F.coalesce(*[F.when(F.coalesce(rule(), F.lit(True)), F.lit(name)) for name, rule in fmt.rules]).alias("reason"))
 
 
 def load_or_reject(raw: DataFrame, fmt: RecordFormat, offset: str = "line_id", line: str = "line") -> tuple[DataFrame, DataFrame]:
@@ -154,6 +164,4 @@ def load_or_reject(raw: DataFrame, fmt: RecordFormat, offset: str = "line_id", l
     loaded = load_strict(found, fmt)
     came = loaded.select(F.col("offset").alias("o"), F.col("print").alias("p"))
     rest = found.join(came, F.col("offset").eqNullSafe(F.col("o")) & (F.col("print") == F.col("p")), "left_anti")
-    reason = F.coalesce(*[F.when(F.coalesce(rule(), F.lit(True)), F.lit(name)) for name, rule in fmt.rules])
-    rejected = _typed(rest, fmt).select(F.col("offset").alias(offset), "line", reason.alias("reason"))
-    return loaded.drop("print").withColumnRenamed("offset", offset), rejected
+    return loaded.drop("print").withColumnRenamed("offset", offset), diagnosed(rest, fmt).withColumnRenamed("offset", offset)

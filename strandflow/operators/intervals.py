@@ -38,7 +38,8 @@ def _sweep(items: DataFrame, bits: int, levels: int) -> DataFrame:
     A window only ever covers the rows of one bucket of 2**bits places, at most 2**bits rows, so no
     key is gathered in one task. What lies ahead of a bucket comes from the buckets, handled alike.
     """
-    bucket = F.shiftright("at", bits)
+    # never null, and said so: the join would else look for nulls on one side only, and the events be made twice
+    bucket = F.coalesce(F.shiftright("at", bits), F.lit(0).cast("bigint"))
     rows = items.withColumn("bucket", bucket)
     own = Window.partitionBy("key", "bucket").orderBy("at")
     rows = rows.withColumn("inner", F.sum("total").over(own) - F.col("total")).withColumn("near", F.lead("first").over(own))

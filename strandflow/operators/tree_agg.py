@@ -23,16 +23,15 @@ def tree_aggregate(
     ``measures``: name -> ("sum" | "min" | "max", column of a row's own state). The input's
     partitions, which Spark cuts to a fixed size, are the chunks: each is combined where it lies
     (the partial aggregate), and the states of one key then meet in rounds, ``fan_in`` of them at
-    most in each group of a round. ``chunks`` is the expected number of partitions, by default the
-    session's shuffle partitions; the number of rounds is its logarithm to the base ``fan_in``, at
-    least two. More partitions than expected wrap around, so the bound then grows by their ratio.
+    most in each group of a round. ``chunks`` is a bound on the number of partitions, by default the
+    one that ``expected_chunks`` reads off the plan; the number of rounds is its logarithm to the
+    base ``fan_in``, at least two. Were there more, they would wrap around.
 
     Null keys are a key of their own. Null states are passed over, as SUM, MIN and MAX do. An empty
     table gives an empty result. Columns other than the keys and measures are not read; a column of
     the input named like a measure is not disturbed by it.
     """
-    spark = df.sparkSession
-    chunks = max(2, chunks or int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    chunks = max(2, chunks or expected_chunks(df))
     rounds = max(2, math.ceil(math.log(chunks) / math.log(fan_in)))
     fan = max(2, math.ceil(chunks ** (1 / rounds)))
     kind = {f"m{i}": how for i, (how, _) in enumerate(measures.values())}
@@ -51,6 +50,36 @@ def tree_aggregate(
     )
 
 
+def expected_chunks(df: DataFrame) -> int:
+    """Number of partitions of ``df`` by its plan, without running anything; no less than the shuffle partitions.
+
+    A narrow plan has those of its scan, which Spark cuts by bytes; behind an exchange there are as
+    many as it names, or the session's shuffle partitions.
+    """
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().conf()
+    shuffled = conf.numShufflePartitions()
+
+    def count(node) -> int:
+        name = node.nodeName()
+        if name in ("Project", "Filter", "Generate", "MapInArrow", "MapInPandas"):
+            return count(node.children().apply(0))
+        if name == "Union":
+            return sum(count(node.children().apply(i)) for i in range(node.children().size()))
+        if name == "LogicalRelation":
+            files = len(df.inputFiles())
+            size = int(str(node.stats().sizeInBytes())) + files * conf.filesOpenCostInBytes()
+            cut_at = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), size // spark.sparkContext.defaultParallelism))
+            return max(files, -(-size // cut_at))
+        if name in ("LogicalRDD", "Scan ExistingRDD"):
+            return node.rdd().getNumPartitions()
+        if name.startswith("Repartition"):
+            return max(shuffled, node.numPartitions())
+        return shuffled
+
+    return max(shuffled, count(df._jdf.queryExecution().optimizedPlan()))
+
+
 def key_figures(df: DataFrame, key: str, member: str | None = None, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows, distinct members and sums for each key: (key, n_rows[, n_members], sums...).
 

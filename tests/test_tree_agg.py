@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from strandflow.operators.tree_agg import key_figures, tree_aggregate
+from strandflow.operators.tree_agg import expected_chunks, key_figures, tree_aggregate
 
 
 def test_against_a_plain_count(spark, rows):
@@ -36,3 +36,14 @@ def test_empty_and_clashing_names(spark):
     assert key_figures(df, "k").count() == 0
     one = spark.createDataFrame([("a", 5, 6, 7)], "k string, n_rows int, chunk int, m0 int")
     assert [tuple(r) for r in key_figures(one, "k", "m0").collect()] == [("a", 1, 1)]
+
+
+def test_chunks_are_those_of_the_input(spark, tmp_path):
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(1000).repartition(37).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert expected_chunks(read.where("id > 3").select((F.col("id") % 2).alias("k"))) >= 37
+    assert expected_chunks(read.union(read)) >= 74 and expected_chunks(read.repartition(333)) == 333
+    assert expected_chunks(read.distinct()) == shuffled
+    plan = tree_aggregate(read.repartition(5000), ["id"], {"n": ("sum", F.lit(1))})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") >= 4  # 5000 chunks, at most 16 at a time

@@ -78,15 +78,19 @@ def hanging_ends(edges: DataFrame, max_del: int = 100, ratio: int = 10) -> DataF
 
 
 def small_components(edges: DataFrame, max_edge: int = 1000, max_total: int = 200) -> DataFrame:
-    """(edge) to delete: components without an edge above ``max_edge`` that are no circle, or that
-    hold fewer than ``max_total`` k-mers in all.
+    """(edge) to delete: of components without an edge above ``max_edge`` k-mers those of fewer than
+    ``max_total`` in all, and those that hold no circle and no way of more than ``max_edge``.
     """
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    placed = edges.join(found.withColumnRenamed("node", "src"), "src")
-    ends = placed.select("component", F.col("src").alias("vertex")).distinct().join(placed.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti").select("component").distinct().withColumn("open", F.lit(True))
-    sums = placed.groupBy("component").agg(F.max("n_kmers").alias("top"), F.sum("n_kmers").alias("total")).join(ends, "component", "left")
-    gone = sums.where((F.col("top") <= max_edge) & ((F.col("total") < max_total) | F.col("open")))
-    return placed.join(gone.select("component"), "component", "left_semi").select("edge")
+    placed = cut(edges.join(found.withColumnRenamed("node", "src"), "src"))
+    sums = placed.groupBy("component").agg(F.max("n_kmers").alias("top"), F.sum("n_kmers").alias("total")).where(F.col("top") <= max_edge)
+    tiny = sums.where(F.col("total") < max_total).select("component")
+    rest = cut(placed.join(sums.where(F.col("total") >= max_total).select("component"), "component", "left_semi"))
+    # a way is incomplete where it is longer than that or turns in a circle
+    long_ = distance_to_end(rest, max_edge).where(~F.col("complete")).select(F.col("vertex").alias("src"))
+    kept = rest.join(long_, "src", "left_semi").select("component").distinct()
+    short = rest.select("component").distinct().join(kept, "component", "left_anti")
+    return placed.join(tiny.unionByName(short), "component", "left_semi").select("edge")
 
 
 def simple_bubbles(edges: DataFrame) -> DataFrame:

@@ -42,12 +42,12 @@ def repath(paths: DataFrame, edges: DataFrame, k: int, k2: int) -> tuple[DataFra
     return new, moved.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["e"]).alias("edges"))
 
 
-def extend_paths(paths: DataFrame, edges: DataFrame, reads: DataFrame, k: int, min_gain: int = 20, rounds: int = 20) -> DataFrame:
-    """(read_id, off, edges): paths carried on to the right until the read ends.
+def extend_paths(paths: DataFrame, edges: DataFrame, reads: DataFrame, k: int, min_gain: int = 20) -> DataFrame:
+    """(read_id, off, edges): paths carried on to the right until the read ends or no edge is taken.
 
     An only way on is always taken. Of several, the best is taken if it has no mismatch and the next
-    best costs ``min_gain`` or more, by the qualities of the read at its mismatches. ``rounds`` is
-    the most edges that are added. Runs of paths(read_id, off, edges).
+    best costs ``min_gain`` or more, by the qualities of the read at its mismatches. Each round adds
+    an edge to every path that still grows, and every edge covers a letter of the read at least.
     """
     text = reads.select("read_id", F.col("seq").alias("read"), "qual")
     last = edges.select(F.col("edge").alias("tail"), F.col("dst").alias("src"))
@@ -56,7 +56,7 @@ def extend_paths(paths: DataFrame, edges: DataFrame, reads: DataFrame, k: int, m
     # `to`: letters of the read that the path covers
     now = cut(paths.join(sizes, "read_id").join(text, "read_id").select("read_id", "off", "edges", "read", "qual", (F.col("n") + (k - 1) - F.col("off")).cast("int").alias("to")))
     finished = None
-    for _ in range(rounds):
+    while not now.isEmpty():
         short = now.where(F.col("to") < F.length("read")).withColumn("tail", F.element_at("edges", -1))
         over = F.least(F.length("more"), F.length("read") - F.col("to"))
         wrong = F.filter(F.sequence(F.lit(1), over), lambda i: F.substring("more", i, F.lit(1)) != F.substring("read", F.col("to") + i, F.lit(1)))
@@ -69,7 +69,5 @@ def extend_paths(paths: DataFrame, edges: DataFrame, reads: DataFrame, k: int, m
         still = now.join(picked, "read_id", "left_anti").select("read_id", "off", "edges")
         finished = still if finished is None else finished.unionByName(still)
         now = cut(grown)
-        if now.isEmpty():
-            break
-    rest = now.select("read_id", "off", "edges")
-    return rest if finished is None else finished.unionByName(rest)
+        finished = cut(finished)
+    return now.select("read_id", "off", "edges") if finished is None else finished

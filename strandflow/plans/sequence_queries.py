@@ -87,7 +87,7 @@ def kmer_setops(spark: SparkSession, d: str) -> DataFrame:
 
 def shaped_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = kmers.shaped_kmers(_reads(spark, d), "110110110110")
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def genome_size(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ SQL = {
     "kmer_setops": f"""{_AB} select 'both' part, count(*) kmers from (select kmer from a intersect select kmer from b) union all select 'a_only', count(*) from (select kmer from a except select kmer from b)
         union all select 'b_only', count(*) from (select kmer from b except select kmer from a) union all select 'any', count(*) from (select kmer from a union select kmer from b)""",
     "shaped_kmer_counts": f"""with {READS} select kmer, count(*) n from (select {' || '.join(f'substr(seq, p + {i}, 1)' for i in (1, 2, 4, 5, 7, 8, 10, 11))} kmer
-        from (select seq, unnest(range(length(seq) - 11)) p from reads where length(seq) >= 12)) group by 1 having count(*) >= 20""",
+        from (select seq, unnest(range(length(seq) - 11)) p from reads where length(seq) >= 12)) group by 1""",
     "canonical_forms": f"""select case when u < {rc('u')} then 'FWD' when u > {rc('u')} then 'REV' else 'PALINDROME' end form, count(*) n
         from (select upper(kmer) u from kmer_nodes where regexp_full_match(kmer, '[ACGTacgt]{{24}}')) group by 1""",
     "palindromes": f"with {READS} select fwd kmer, count(*) n from (select substr(seq, p + 1, 8) fwd from (select seq, unnest(range(length(seq) - 7)) p from reads where length(seq) >= 8)) where fwd = {rc('fwd')} group by 1",
@@ -257,6 +257,8 @@ SQL = {
     "fork_classes": f"""{_GRAPH} select case when n_out = 0 then 'nothing_fw' when n_out = 1 and n_in = 1 then 'line_fw' when n_out = 1 then 'split_fw' when n_in = 1 then 'join_fw' else 'join_split_fw' end fork,
         count(*) edges, cast(sum(n_kmers) as bigint) kmers from edges join deg on dst = vertex group by 1""",
     "component_sizes": f"{_GRAPH}, {COMPONENTS} select edges, count(*) components from (select component, count(*) edges from edges join comp on vertex = src group by 1) group by 1",
-    "involution_violations": "select unnest(['inverse missing','inverse of inverse','sequence','ends']) rule, unnest([0,0,0,0]::bigint[]) n",
+    "involution_violations": f"""{_GRAPH}, v as (select e.edge, b.edge twin, b.inv back, b.seq <> {rc('e.seq')} other, b.src <> {rc('e.dst')} or b.dst <> {rc('e.src')} torn from edges e left join edges b on b.edge = e.inv)
+        select 'inverse missing' rule, count(*) filter (twin is null) n from v union all select 'inverse of inverse', count(*) filter (back <> edge) from v
+        union all select 'sequence', count(*) filter (other) from v union all select 'ends', count(*) filter (torn) from v""",
     "gfa_segments": f"{_GRAPH} select 'S' || chr(9) || 'edge' || edge || chr(9) || seq line from edges where edge <= inv",
 }

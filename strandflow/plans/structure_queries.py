@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,13 +89,15 @@ def reads_with_library(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    stream = counts.event_windows(counts.streamed(spark, f"{d}/events.parquet"), late="400 days")
-    return counts.run_to_end(stream, f"windows_{uuid.uuid4().hex}", "complete")
+    """One pass over all events, which lie in order of time, so that no row is late; lateness is tested on made-up files."""
+    stream = counts.event_windows(counts.streamed(spark, f"{d}/events.parquet"), late="10 minutes")
+    return counts.run_to_end(stream, ["start", "event_type"])
 
 
 def streamed_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
-    reads = counts.streamed(spark, f"{d}/oreads.parquet").dropDuplicates(["read_id"])
-    return counts.run_to_end(counts.kmer_counts(reads, 12), f"kmers_{uuid.uuid4().hex}", "update").groupBy("kmer").agg(F.max("n").alias("n")).where("n >= 12")
+    """12-mers of the reads; reads delivered again up to 90 days later count once."""
+    reads = counts.once(counts.streamed(spark, f"{d}/oreads.parquet").where("read_id is not null"), "read_id", "loaded_at", "90 days")
+    return counts.run_to_end(counts.kmer_counts(reads, 12), ["kmer"])
 
 
 def fraction_subsample(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +114,16 @@ QUERIES = {
     )
 }
 
+
+
+def far_cte(limit: int) -> str:
+    """far: ways from a vertex to a sink, up to a limit; bad: vertices with a longer way or one in a circle."""
+    return f"""far(vertex, reach) as (select distinct dst, 0 from edges where dst not in (select src from edges) union
+          select src, reach + n_kmers from far join edges on dst = vertex where reach + n_kmers <= {limit}),
+        bad(vertex) as (select v from (select src v from edges union select dst from edges) where v not in (select vertex from far)
+          union select src from edges join far on dst = vertex where reach + n_kmers > {limit} union select src from edges join bad on dst = vertex)"""
+
+
 _DEG = "d as (select vertex v, n_in i, n_out o from deg)"
 SQL = {
     "fraction_subsample": f"with {READS} select distinct (read_id >> 1) + 1 pair from reads where read_id < 2 or floor(((read_id >> 1) + 1) * 0.25) > floor((read_id >> 1) * 0.25)",
@@ -121,16 +131,13 @@ SQL = {
         || case when b.edge <= b.inv then '+' else '-' end || chr(9) || '0M' line from edges a join edges b on a.dst = b.src where a.edge < b.inv or (a.edge = b.inv and b.edge <= a.inv)""",
     "simple_bubbles": f"""{_GRAPH}, {_DEG}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges group by 1, 2)
         select src, dst, e1, e2 from p join d a on a.v = src join d b on b.v = dst where n = 2 and a.o = 2 and b.i = 2 and src <> dst""",
-    "hanging_ends": f"""{_GRAPH}, far(vertex, reach, hops) as (select distinct dst, 0, 0 from edges where dst not in (select src from edges) union all
-          select src, reach + n_kmers, hops + 1 from far join edges on dst = vertex where reach + n_kmers <= 120 and hops < 200),
-        bad(vertex) as (select v from (select src v from edges union select dst from edges) where v not in (select vertex from far)
-          union select src from edges join far on dst = vertex where reach + n_kmers > 120 union select src from edges join bad on dst = vertex),
+    "hanging_ends": f"""{_GRAPH}, {far_cte(120)},
         r as (select v, case when v in (select vertex from bad) then 120 else (select max(reach) from far where vertex = v) end reach, v not in (select vertex from bad) complete from (select src v from edges union select dst from edges)),
         f as (select edge, src, n_kmers + reach dist, complete, max(n_kmers + reach) over (partition by src) best, count(*) over (partition by src) n from edges join r on r.v = dst)
         select edge from f where n > 1 and complete and dist <= 60 and best >= 2 * dist""",
-    "small_components": f"""{_GRAPH}, {COMPONENTS}, p as (select edge, src, dst, n_kmers, component from edges join comp on vertex = src),
-        s as (select component, max(n_kmers) top, sum(n_kmers) total, max(case when src not in (select dst from edges) then 1 else 0 end) open from p group by 1)
-        select edge from p join s using (component) where top <= 60 and (total < 100 or open = 1)""",
+    "small_components": f"""{_GRAPH}, {COMPONENTS}, {far_cte(60)}, p as (select edge, src, dst, n_kmers, component from edges join comp on vertex = src),
+        s as (select component, max(n_kmers) top, sum(n_kmers) total, max(case when src in (select vertex from bad) then 1 else 0 end) long from p group by 1)
+        select edge from p join s using (component) where top <= 60 and (total < 100 or long = 0)""",
     "unrollable_loops": f"""{_GRAPH}, {_DEG} select p.edge prev, r.edge repeat, l.edge loop, n.edge next from edges r join edges l on l.src = r.dst and l.dst = r.src join edges p on p.dst = r.src join edges n on n.src = r.dst
         join d a on a.v = r.src join d b on b.v = r.dst where p.edge <> l.edge and n.edge <> l.edge and p.edge <> n.edge and a.i = 2 and a.o = 1 and b.i = 1 and b.o = 2""",
     "canonical_repeats": f"""{_GRAPH}, {_DEG} select edge repeat, (select min(x.edge) from edges x where x.dst = e.src) in1, (select max(x.edge) from edges x where x.dst = e.src) in2,
@@ -143,5 +150,5 @@ SQL = {
     "reads_with_library": f"""with {READS}, l as (select sample, min(lib) lib, max(frac) frac from read_groups group by 1)
         select sample, coalesce(lib, 'none') lib, coalesce(frac, 1.0) frac, count(*) reads from reads left join l using (sample) group by 1, 2, 3""",
     "streamed_event_windows": "select cast(time_bucket(interval 1 hour, ts) as timestamp) start, event_type, count(*) n, round(sum(value), 4) total from events where ts is not null group by 1, 2",
-    "streamed_kmer_counts": f"with reads as (select distinct read_id, replace(seq, 'N', 'A') seq from oreads), {kmer_cte('kt', 'reads', 12)} select kmer, n from kt where n >= 12",
+    "streamed_kmer_counts": f"with reads as (select distinct read_id, replace(seq, 'N', 'A') seq from oreads where read_id is not null), {kmer_cte('kt', 'reads', 12)} select kmer, n from kt",
 }

@@ -23,13 +23,11 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, driver_memory: s
     )
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which every executor shares.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which every executor
-    shares. Only where that is unset (tests, a local bench) a folder of this machine is set.
+    Only where that is unset (tests, a local bench) a folder of this machine is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,4 +36,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="strandflow-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)

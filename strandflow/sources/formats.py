@@ -132,7 +132,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
         .when(F.length("l1") != F.length("l3"), "bases and qualities differ in number")
         .when(F.exists(qual, lambda q: (q > MAX_QUAL) | (q < 0)), "a quality is out of range")
     )
-    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("FASTQ: "), wrong)).cast("string")).otherwise(F.substring("l0", 2, 10_000))
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("FASTQ: "), wrong)).cast("string")).otherwise(F.substring(F.col("l0"), F.lit(2), F.length("l0")))
     return rows.select("file", "record", checked.alias("name"), F.translate(F.upper("l1"), "N", "A").alias("seq"), qual.alias("qual"))
 
 
@@ -176,7 +176,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("record", F.sum(F.col("line").startswith(">").cast("int")).over(w) - 1).where("record >= 0")
     grouped = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return grouped.select("file", "record", F.substring(F.col("l")[0]["line"], 2, 100_000).alias("name"), F.array_join(F.transform(F.filter("l", lambda x: ~x["line"].startswith(">")), lambda x: F.trim(x["line"])), "").alias("seq"))
+    return grouped.select("file", "record", F.substring(F.col("l")[0]["line"], F.lit(2), F.length(F.col("l")[0]["line"])).alias("name"), F.array_join(F.transform(F.filter("l", lambda x: ~x["line"].startswith(">")), lambda x: F.trim(x["line"])), "").alias("seq"))
 
 
 def fasta_region(records: DataFrame, name: str, start: int, stop: int) -> DataFrame:

@@ -7,7 +7,7 @@ A vertex has at most four edges on either side, so the joins on vertices do not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.graph import components, vertex_degrees
@@ -34,16 +34,21 @@ def unsupported_branches(edges: DataFrame, support: DataFrame, most: int = 0, le
     return out.distinct()
 
 
-def branch_scores(votes: DataFrame, top: int = 100, weak: int = 50, ratio: int = 5, deepest: int = 15) -> DataFrame:
+def branch_scores(votes: DataFrame, top: int = 100, weak: int = 50, ratio: int = 5, deepest: int = 15, branches: DataFrame | None = None) -> DataFrame:
     """(vertex, branch) to delete from votes(vertex, branch, score), one row per read.
 
-    For some depth d from 0 to ``deepest`` the sum of the scores above d is at least ``top`` for the
-    best branch, at most ``weak`` for this one, and the best is ``ratio`` times it or more.
+    For a depth d from 0 to ``deepest`` the sum of the scores above d is at least ``top`` for the
+    best branch, at most ``weak`` for this one, and the best is ``ratio`` times it or more. The least
+    such d of a vertex decides. ``branches`` (vertex, branch) names those without a vote too.
     """
     at = votes.select("vertex", "branch", "score", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("d"))
     sums = at.groupBy("vertex", "branch", "d").agg(F.sum(F.when(F.col("score") > F.col("d"), F.col("score")).otherwise(0)).alias("q"))
+    if branches is not None:
+        every = branches.join(votes.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "branch", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("d"))
+        sums = every.join(sums, ["vertex", "branch", "d"], "left").select("vertex", "branch", "d", F.coalesce("q", F.lit(0)).alias("q"))
     best = sums.withColumn("best", F.max("q").over(Window.partitionBy("vertex", "d")))
-    return best.where((F.col("best") >= top) & (F.col("q") <= weak) & (F.col("best") >= ratio * F.col("q")) & (F.col("q") < F.col("best"))).select("vertex", "branch").distinct()
+    lost = best.where((F.col("best") >= top) & (F.col("q") <= weak) & (F.col("best") >= ratio * F.col("q")) & (F.col("q") < F.col("best")))
+    return lost.withColumn("least", F.min("d").over(Window.partitionBy("vertex"))).where("d = least").select("vertex", "branch").distinct()
 
 
 def distance_to_end(edges: DataFrame, limit: int) -> DataFrame:
@@ -102,19 +107,30 @@ def simple_bubbles(edges: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where("o = 2 and i = 2 and src <> dst").select("src", "dst", "e1", "e2")
 
 
-def popped_bubbles(bubbles: DataFrame, weights: DataFrame, p: float = 0.25, tail: float = 1e-5, most: int = 10) -> DataFrame:
-    """(edge) to delete: the weaker arm where so few reads of all would be chance below ``tail`` and its
-    weight is under ``most``. weights: edge, weight (expected reads, whole).
+def popped_bubbles(bubbles: DataFrame, edges: DataFrame, weights: DataFrame, p: float = 0.25, tail: float = 1e-5, most: int = 10) -> DataFrame:
+    """(edge) to delete: the arm with less weight on both strands together, if on each strand with any
+    weight so few of all would be chance below ``tail`` and its weight is under ``most``.
+
+    weights: edge, weight (expected reads). An arm that is the inverse of the other stays.
     """
-    from strandflow.operators.stats import binomial_tail
+    from strandflow.operators.stats import binomial_cdf
+
+    rows = bubbles.select("e1", "e2")
+    for c, i in (("e1", "i1"), ("e2", "i2")):
+        rows = rows.join(edges.select(F.col("edge").alias(c), F.col("inv").alias(i)), c)
+    rows = rows.where("i1 <> e2")
+    for c in ("e1", "e2", "i1", "i2"):
+        rows = rows.join(weights.select(F.col("edge").alias(c), F.col("weight").alias(f"w_{c}")), c, "left")
+    rows = rows.na.fill(0.0, ["w_e1", "w_e2", "w_i1", "w_i2"])
+    one, two = F.col("w_e1") + F.col("w_i1"), F.col("w_e2") + F.col("w_i2")
+    first = (two > one) | ((two == one) & (F.col("w_e2") > F.col("w_e1")))
+
+    def weak(a: str, b: str) -> Column:
+        less, n = F.when(first, F.col(a)).otherwise(F.col(b)), F.floor(2 * (F.col(a) + F.col(b))).cast("int")
+        return (n == 0) | ((less < most) & (binomial_cdf(n, F.ceil(less).cast("int"), p) < tail))
 
-    w1 = weights.select(F.col("edge").alias("e1"), F.col("weight").cast("int").alias("w1"))
-    w2 = weights.select(F.col("edge").alias("e2"), F.col("weight").cast("int").alias("w2"))
-    both = bubbles.join(w1, "e1", "left").join(w2, "e2", "left").na.fill(0, ["w1", "w2"])
-    low, high = F.least("w1", "w2"), F.greatest("w1", "w2")
-    # at most `low` reads of `low + high` on one arm, each with chance p
-    few = 1 - binomial_tail(low + high, low + 1, p)
-    return both.where((F.col("w1") != F.col("w2")) & (low < most) & (few < tail)).select(F.when(F.col("w1") < F.col("w2"), F.col("e1")).otherwise(F.col("e2")).alias("edge"))
+    gone = rows.where((one + two > 0) & weak("w_e1", "w_e2") & weak("w_i1", "w_i2"))
+    return gone.select(F.when(first, F.col("e1")).otherwise(F.col("e2")).alias("edge"))
 
 
 def canonical_repeats(edges: DataFrame) -> DataFrame:
@@ -174,8 +190,9 @@ def plasmid_patterns(edges: DataFrame, pairs: DataFrame, links: DataFrame, least
 def mergeable(edges: DataFrame) -> DataFrame:
     """(u, v): edge u runs on to v alone, v comes from u alone, through a vertex that is not their own loop."""
     deg = vertex_degrees(edges).where("n_in = 1 and n_out = 1").select("vertex")
-    a = edges.where("src <> dst").select(F.col("edge").alias("u"), F.col("dst").alias("vertex"))
-    b = edges.where("src <> dst").select(F.col("edge").alias("v"), F.col("src").alias("vertex"))
+    whole = edges.where("src <> dst and n_kmers > 0")  # gap edges stay
+    a = whole.select(F.col("edge").alias("u"), F.col("dst").alias("vertex"))
+    b = whole.select(F.col("edge").alias("v"), F.col("src").alias("vertex"))
     return a.join(deg, "vertex", "left_semi").join(b, "vertex").select("u", "v")
 
 

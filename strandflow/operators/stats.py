@@ -96,6 +96,19 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["total"])
 
 
+def binomial_cdf(n: Column, k: Column, p: float) -> Column:
+    """P(X <= k) of n trials, k being small; terms are made from one another, p strictly between 0 and 1."""
+    odds, first = p / (1 - p), F.pow(F.lit(1 - p), n)
+    start = F.struct(first.alias("term"), first.alias("total"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * (n - i + 1) / i * odds
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    top = F.least(k, n)
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).otherwise(F.aggregate(F.when(top >= 1, F.sequence(F.lit(1), F.greatest(top, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["total"]))
+
+
 def normal_cdf(x: Column) -> Column:
     """P(X <= x) for a standard normal variable, by the series of the density's integral; exact to 1e-9 within 6 of 0."""
     start = F.struct(x.cast("double").alias("term"), x.cast("double").alias("total"))

@@ -31,10 +31,6 @@ def edge_support(spark: SparkSession, d: str) -> DataFrame:
     return placement.edge_support(steps, edges)
 
 
-def simple_bubbles(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.simple_bubbles(_straight(spark, d))
-
-
 def hanging_ends(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.hanging_ends(_straight(spark, d), max_del=60, ratio=2)
 
@@ -43,14 +39,6 @@ def small_components(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.small_components(_straight(spark, d), max_edge=60, max_total=100)
 
 
-def canonical_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.canonical_repeats(_straight(spark, d))
-
-
-def unrollable_loops(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.unrollable_loops(_straight(spark, d), size=1)
-
-
 def merged_chains(spark: SparkSession, d: str) -> DataFrame:
     """Edges left after unsupported short branches go and chains of the rest merge: name and k-mers."""
     edges = _straight(spark, d)
@@ -109,7 +97,7 @@ def fraction_subsample(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fraction_subsample, gfa_links, edge_support, simple_bubbles, hanging_ends, small_components, canonical_repeats, unrollable_loops, merged_chains, line_lengths, efasta_sites, document_tokens, reads_with_library,
+        fraction_subsample, gfa_links, edge_support, hanging_ends, small_components, merged_chains, line_lengths, efasta_sites, document_tokens, reads_with_library,
         streamed_event_windows, streamed_kmer_counts,
     )
 }
@@ -129,8 +117,6 @@ SQL = {
     "fraction_subsample": f"with {READS} select distinct (read_id >> 1) + 1 pair from reads where read_id < 2 or floor(((read_id >> 1) + 1) * 0.25) > floor((read_id >> 1) * 0.25)",
     "gfa_links": f"""{_GRAPH} select 'L' || chr(9) || 'edge' || least(a.edge, a.inv) || chr(9) || case when a.edge <= a.inv then '+' else '-' end || chr(9) || 'edge' || least(b.edge, b.inv) || chr(9)
         || case when b.edge <= b.inv then '+' else '-' end || chr(9) || '0M' line from edges a join edges b on a.dst = b.src where a.edge < b.inv or (a.edge = b.inv and b.edge <= a.inv)""",
-    "simple_bubbles": f"""{_GRAPH}, {_DEG}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges group by 1, 2)
-        select src, dst, e1, e2 from p join d a on a.v = src join d b on b.v = dst where n = 2 and a.o = 2 and b.i = 2 and src <> dst""",
     "hanging_ends": f"""{_GRAPH}, {far_cte(120)},
         r as (select v, case when v in (select vertex from bad) then 120 else (select max(reach) from far where vertex = v) end reach, v not in (select vertex from bad) complete from (select src v from edges union select dst from edges)),
         f as (select edge, src, n_kmers + reach dist, complete, max(n_kmers + reach) over (partition by src) best, count(*) over (partition by src) n from edges join r on r.v = dst)
@@ -138,11 +124,6 @@ SQL = {
     "small_components": f"""{_GRAPH}, {COMPONENTS}, {far_cte(60)}, p as (select edge, src, dst, n_kmers, component from edges join comp on vertex = src),
         s as (select component, max(n_kmers) top, sum(n_kmers) total, max(case when src in (select vertex from bad) then 1 else 0 end) long from p group by 1)
         select edge from p join s using (component) where top <= 60 and (total < 100 or long = 0)""",
-    "unrollable_loops": f"""{_GRAPH}, {_DEG} select p.edge prev, r.edge repeat, l.edge loop, n.edge next from edges r join edges l on l.src = r.dst and l.dst = r.src join edges p on p.dst = r.src join edges n on n.src = r.dst
-        join d a on a.v = r.src join d b on b.v = r.dst where p.edge <> l.edge and n.edge <> l.edge and p.edge <> n.edge and a.i = 2 and a.o = 1 and b.i = 1 and b.o = 2""",
-    "canonical_repeats": f"""{_GRAPH}, {_DEG} select edge repeat, (select min(x.edge) from edges x where x.dst = e.src) in1, (select max(x.edge) from edges x where x.dst = e.src) in2,
-        (select min(x.edge) from edges x where x.src = e.dst) out1, (select max(x.edge) from edges x where x.src = e.dst) out2 from edges e join d a on a.v = src join d b on b.v = dst
-        where a.i = 2 and a.o = 1 and b.i = 1 and b.o = 2 and src <> dst""",
     "efasta_sites": f"""with v as (select line_id, v[4] ref, string_split(v[5], ',') alts from ({_VAR_OK}) where ok), g as (select line_id, list_concat([ref], alts) a from v where len(list_filter(alts, lambda x: not regexp_full_match(x, '[ACGTN]+'))) = 0)
         select line_id, '{{' || array_to_string(a, ',') || '}}' bubble, array_to_string(a, '|') expanded, cast(list_min(list_transform(a, lambda x: length(x))) as int) shortest,
           cast(list_max(list_transform(a, lambda x: length(x))) as int) longest, case when list_max(list_transform(a, lambda x: length(x))) = 1 then 1 else 0 end snps from g""",

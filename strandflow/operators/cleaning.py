@@ -16,7 +16,8 @@ from strandflow.session import cut
 
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """edges without those in ``doomed`` (edge) and their inverses."""
-    gone = doomed.select("edge").unionByName(doomed.join(edges.select("edge", "inv"), "edge").select(F.col("inv").alias("edge"))).distinct()
+    doomed = cut(doomed.select("edge"))  # read twice
+    gone = doomed.unionByName(doomed.join(edges.select("edge", "inv"), "edge").select(F.col("inv").alias("edge"))).distinct()
     return edges.join(gone, "edge", "left_anti")
 
 
@@ -135,12 +136,12 @@ def popped_bubbles(bubbles: DataFrame, edges: DataFrame, weights: DataFrame, p:
 
 def canonical_repeats(edges: DataFrame) -> DataFrame:
     """(repeat, in1, in2, out1, out2): an edge that alone joins two edges in to two edges out."""
-    deg = vertex_degrees(edges)
+    deg = cut(vertex_degrees(edges))
     mid = edges.join(deg.select(F.col("vertex").alias("src"), F.col("n_in").alias("li"), F.col("n_out").alias("lo")), "src").join(deg.select(F.col("vertex").alias("dst"), F.col("n_in").alias("ri"), F.col("n_out").alias("ro")), "dst")
     mid = mid.where("li = 2 and lo = 1 and ri = 1 and ro = 2 and src <> dst").select(F.col("edge").alias("repeat"), "src", "dst")
     into = edges.groupBy(F.col("dst").alias("src")).agg(F.min("edge").alias("in1"), F.max("edge").alias("in2"))
     onto = edges.groupBy(F.col("src").alias("dst")).agg(F.min("edge").alias("out1"), F.max("edge").alias("out2"))
-    return mid.join(into, "src").join(onto, "dst").select("repeat", "in1", "in2", "out1", "out2")
+    return cut(mid.join(into, "src").join(onto, "dst").select("repeat", "in1", "in2", "out1", "out2"))
 
 
 def separated_repeats(scores: DataFrame, least: int = 5, ratio: int = 5) -> DataFrame:

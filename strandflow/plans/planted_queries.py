@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandflow.operators import cleaning, evidence, graph, kmers, placement
 from strandflow.plans.sequence_queries import _GRAPH, MIN_FREQ, READS, K, rc
 from strandflow.plans.structure_queries import far_cte
-from strandflow.session import cut
+from strandflow.session import cut, written_once
 from strandflow.tables import table
 
 QUAL = 30
@@ -49,16 +49,20 @@ def _reads(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> DataFra
 
 
 def _circled(reads: DataFrame) -> DataFrame:
-    return cut(graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(reads, K))), K))
+    return graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(reads, K))), K)
 
 
 def _graph(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> tuple[DataFrame, DataFrame]:
-    reads = cut(_reads(spark, d, kinds))
-    return reads, _circled(reads).where("not circle").select("edge", "src", "dst", "seq", "n_kmers", "inv")
+    """(reads, edges without circles), built once a session."""
+    reads = written_once(spark, ("planted reads", d, kinds), lambda: (_reads(spark, d, kinds),))[0]
+    edges = written_once(spark, ("planted edges", d, kinds), lambda: (_circled(reads),))[0]
+    return reads, edges.where("not circle").select("edge", "src", "dst", "seq", "n_kmers", "inv")
 
 
-def _placed(reads: DataFrame, edges: DataFrame) -> DataFrame:
-    return cut(placement.read_paths(placement.place_reads(reads, edges, K), edges))
+def _laid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads, edges, paths) of all kinds, built once a session."""
+    reads, edges = _graph(spark, d)
+    return reads, edges, written_once(spark, ("planted paths", d), lambda: (placement.read_paths(placement.place_reads(reads, edges, K), edges),))[0]
 
 
 def simple_bubbles(spark: SparkSession, d: str) -> DataFrame:
@@ -75,63 +79,62 @@ def unrollable_loops(spark: SparkSession, d: str) -> DataFrame:
 
 def circle_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Smooth circles, each cut at its least k-mer, with the circle of the other strand."""
-    return _circled(_reads(spark, d)).where("circle").select("edge", "seq", "n_kmers", "inv")
+    edges = written_once(spark, ("planted edges", d, ALL), lambda: (_circled(_reads(spark, d)),))[0]
+    return edges.where("circle").select("edge", "seq", "n_kmers", "inv")
 
 
 def planted_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps of all read paths, with where each edge begins on the read."""
-    reads, edges = _graph(spark, d)
-    paths = _placed(reads, edges)
+    reads, edges, paths = _laid(spark, d)
     return evidence.step_starts(evidence.both_strands(paths, edges, reads, K), edges).select("read_id", "turned", "step", "edge", "at")
 
 
 def path_violations(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    return evidence.path_violations(_placed(reads, edges), edges, reads, K)
+    reads, edges, paths = _laid(spark, d)
+    return evidence.path_violations(paths, edges, reads, K)
 
 
 def read_layout(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    return evidence.layout(_placed(reads, edges), edges, reads, K)
+    reads, edges, paths = _laid(spark, d)
+    return evidence.layout(paths, edges, reads, K)
 
 
 def path_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Fragments on edges of sixty letters or more, the second mate through the inverse."""
-    reads, edges = _graph(spark, d)
-    return evidence.path_fragments(_placed(reads, edges), edges, least=60)
+    reads, edges, paths = _laid(spark, d)
+    return evidence.path_fragments(paths, edges, least=60)
 
 
 def branch_votes(spark: SparkSession, d: str) -> DataFrame:
     """Votes of the reads at forks: how many each branch has and their sum."""
-    reads, edges = _graph(spark, d)
-    votes = evidence.branch_votes(edges, _placed(reads, edges), reads, K)
+    reads, edges, paths = _laid(spark, d)
+    votes = evidence.branch_votes(edges, paths, reads, K)
     return votes.groupBy("vertex", "branch").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("total"))
 
 
 def branches_cut(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    votes = evidence.branch_votes(edges, _placed(reads, edges), reads, K)
+    reads, edges, paths = _laid(spark, d)
+    votes = evidence.branch_votes(edges, paths, reads, K)
     ways = evidence.branch_extensions(edges, K).select("vertex", "branch").distinct()
     return cleaning.branch_scores(votes, branches=ways)
 
 
 def bubbles_popped(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
+    reads, edges, paths = _laid(spark, d)
     bubbles = evidence.flanked_bubbles(edges)
-    return cleaning.popped_bubbles(bubbles, edges, evidence.bubble_weights(bubbles, edges, _placed(reads, edges), reads, K))
+    return cleaning.popped_bubbles(bubbles, edges, evidence.bubble_weights(bubbles, edges, paths, reads, K))
 
 
 def _apart(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    reads, edges = _graph(spark, d)
-    paths = _placed(reads, edges)
+    reads, edges, paths = _laid(spark, d)
     repeats = cleaning.canonical_repeats(edges)
     scores = evidence.repeat_scores(repeats, evidence.pair_edges(paths, edges, reads, K))
     return edges, paths, evidence.repeat_copies(repeats, cleaning.separated_repeats(scores), edges)
 
 
 def repeat_scores(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    return evidence.repeat_scores(cleaning.canonical_repeats(edges), evidence.pair_edges(_placed(reads, edges), edges, reads, K))
+    reads, edges, paths = _laid(spark, d)
+    return evidence.repeat_scores(cleaning.canonical_repeats(edges), evidence.pair_edges(paths, edges, reads, K))
 
 
 def repeats_apart(spark: SparkSession, d: str) -> DataFrame:
@@ -153,9 +156,8 @@ def loops_unrolled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    reads, edges = _graph(spark, d)
-    paths = _placed(reads, edges)
-    coverage = placement.pair_coverage(placement.path_steps(paths), edges)
+    reads, edges, paths = _laid(spark, d)
+    coverage = cut(placement.pair_coverage(placement.path_steps(paths), edges))
     kept = cleaning.delete_edges(edges, evidence.weak_branches(edges, coverage, most=0.3))
     merged, moves = evidence.merged_edges(cut(kept), K)
     return merged, moves, paths
@@ -174,8 +176,7 @@ def merged_read_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plasmids_unwound(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    paths = _placed(reads, edges)
+    reads, edges, paths = _laid(spark, d)
     on = evidence.pair_edges(paths, edges, reads, K)
     pairs = on.select("pair", "edge").distinct().groupBy("edge").agg(F.count(F.lit(1)).alias("pairs"))
     met = on.join(on.select("pair", "turned", F.col("edge").alias("e2")), ["pair", "turned"]).where("edge < e2").select(F.col("edge").alias("e1"), "e2", "pair").distinct()
@@ -189,13 +190,13 @@ def lone_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def planted_support(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    return placement.edge_support(placement.path_steps(_placed(reads, edges)), edges)
+    reads, edges, paths = _laid(spark, d)
+    return placement.edge_support(placement.path_steps(paths), edges)
 
 
 def unsupported_branches(spark: SparkSession, d: str) -> DataFrame:
-    reads, edges = _graph(spark, d)
-    return cleaning.unsupported_branches(edges, placement.edge_support(placement.path_steps(_placed(reads, edges)), edges), most=3, least=10)
+    reads, edges, paths = _laid(spark, d)
+    return cleaning.unsupported_branches(edges, placement.edge_support(placement.path_steps(paths), edges), most=3, least=10)
 
 
 QUERIES = {
@@ -273,7 +274,7 @@ SQL = {
         g as (select b.size - b.pf - a.pf l from f a join f b on a.pair = b.pair and a.m = 0 and b.m = 1 and b.inv = a.edge), h as (select floor(l / 10) * 10 + 5.0 c from g where l >= 0 and l < 1000)
         select cast(c as double) bin_center, count(*) n, round(count(*) / sum(count(*)) over (), 6) mass from h group by c""",
     "branch_votes": f"{_P}, {_VOTES} select vertex, branch, count(*) votes, cast(sum(score) as bigint) total from votes group by 1, 2",
-    "branches_cut": f"""{_P}, {_VOTES}, q as (select vertex, branch, dd, coalesce(sum(score) filter (score > dd), 0) q from (select distinct vertex, branch from ways where vertex in (select vertex from votes)), (select unnest(range(16)) dd) left join votes using (vertex, branch) group by all),
+    "branches_cut": f"""{_P}, {_VOTES}, q as (select vertex, branch, dd, coalesce(sum(score) filter (score > dd), 0) q from (select vertex, branch, dd from (select distinct vertex, branch from ways where vertex in (select vertex from votes)), (select unnest(range(16)) dd)) left join votes using (vertex, branch) group by vertex, branch, dd),
         b as (select *, max(q) over (partition by vertex, dd) best from q), l as (select * from b where best >= 100 and q <= 50 and best >= 5 * q and q < best)
         select vertex, branch from (select *, min(dd) over (partition by vertex) m from l) where dd = m""",
     "bubbles_popped": f"""{_P}, {_D}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges where src <> dst group by 1, 2),

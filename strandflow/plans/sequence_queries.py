@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.dna import canonical_form, gc_count, revcomp
 from strandflow.operators import graph, kmers
+from strandflow.session import written_once
 from strandflow.tables import table
 
 K = 24
@@ -131,7 +132,8 @@ def unipath_heads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(_table(spark, d))), K)
+    """The graph of the reads of one folder; built once a session, as many queries stand on it."""
+    return written_once(spark, ("edges", d), lambda: (graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(_table(spark, d))), K),))[0]
 
 
 def unipaths(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: A guessed size of more bits than this (a petabyte) is no guess any more.
+LARGEST_GUESS_BITS = 50
+_WRITTEN: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def written_once(spark: SparkSession, key: tuple, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """What ``make`` gives, checkpointed, and the same again for the same key as long as the application runs.
+
+    For tables that many queries of a session read, such as the graph of one folder of reads, which
+    must not change meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = tuple(cut(df) for df in make())
+    return _WRITTEN[key]
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the size that the optimizer had guessed for its plan. A guess for a join is
+    the product of its sides, so over rounds of joins it grows without bound, and so does the time
+    spent on it. Where it is past any real size the rows are taken without it; sizes are then
+    measured at run time.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager)
+    plan = out._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= LARGEST_GUESS_BITS:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)

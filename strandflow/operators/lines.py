@@ -156,3 +156,17 @@ def line_sequences(lines: DataFrame, edges: DataFrame, support: DataFrame, k: in
     steps = parts.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("seg", "step", "seq"))).alias("p"))
     rest = F.transform(F.col("p"), lambda x, i: F.when(i == 0, x["seq"]).otherwise(F.substring(x["seq"], F.lit(k), F.length(x["seq"]))))
     return steps.select("line", F.array_join(rest, "").alias("seq"))
+
+
+def one_of_two(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line): of each line and that of its inverse edges the one that is not after the other by name."""
+    single = lines.where("seg % 2 = 0").select("line", "edge")
+    back = single.join(edges.select("edge", "inv"), "edge").select("line", F.col("inv").alias("edge")).join(single.withColumnRenamed("line", "other"), "edge")
+    return back.groupBy("line").agg(F.min("other").alias("other")).where("line <= other").select("line")
+
+
+def stats_lines(stats: DataFrame, lines: DataFrame) -> DataFrame:
+    """(text) of each line: ``line[name] first..last len=L npairs=N cov=C``, of stats(line, len, npairs, cov)."""
+    ends = lines.where("seg % 2 = 0").groupBy("line").agg(F.min_by("edge", "seg").alias("a"), F.max_by("edge", "seg").alias("b"))
+    rows = stats.join(ends, "line")
+    return rows.select(F.format_string("line[%s] %s..%s len=%d npairs=%d cov=%.3f", "line", "a", "b", "len", "npairs", "cov").alias("text"))

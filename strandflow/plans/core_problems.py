@@ -98,7 +98,7 @@ _G = '("(?:[^"]|"")*"|[^",]*)'
 _NINE = ",".join([_G] * 9)
 _UNQ = "case when starts_with({0}, '\"') then replace({0}[2:len({0})-1], '\"\"', '\"') else {0} end"
 _VAR_OK = f"""
-  select line_id, v, nine and v[1] <> '' and {_int('v[2]')} and (case when {_int('v[2]')} then cast(v[2] as bigint) >= 1 else false end)
+  select line_id, v, nine, nine and v[1] <> '' and {_int('v[2]')} and (case when {_int('v[2]')} then cast(v[2] as bigint) >= 1 else false end)
     and regexp_full_match(v[4], '[ACGTNacgtn]+') and (v[6] = '.' or regexp_full_match(v[6], '[0-9]+(\\.[0-9]+)?')) as ok
   from (select line_id, nine, case when nine then list_transform(g, lambda x: {_UNQ.format('x')}) else ['','','','','','','','',''] end v
     from (select line_id, regexp_full_match(line, '(?s){_NINE}') nine,
@@ -118,7 +118,13 @@ _MERGED = """
       from read_glocs where gid is not null and start_pos >= 0 and stop_pos > start_pos))
   group by gid, island"""
 
+_SAM_WHY = f"""case when len(f) < 11 then 'too few fields' when not {_int('f[2]')} then 'FLAG is no whole number' when not {_int('f[4]')} then 'POS is no whole number' when not {_int('f[5]')} then 'MAPQ is no whole number'
+  when not {_int('f[8]')} then 'PNEXT is no whole number' when not (case when starts_with(f[9], '-') then {_int('f[9][2:]')} else {_int('f[9]')} end) then 'TLEN is no number' else 'POS is 0 in a mapped record' end"""
+_VAR_WHY = f"""case when not regexp_full_match(line, '(?s){_F}(,{_F})*') then 'quoting is broken' when not nine then 'not nine fields' when v[1] = '' then 'CHROM is empty'
+  when not (case when {_int('v[2]')} then cast(v[2] as bigint) >= 1 else false end) then 'POS1 is no whole number of at least 1' when not regexp_full_match(v[4], '[ACGTNacgtn]+') then 'REF is not letters of ACGTN' else 'QUAL is neither a point nor a number' end"""
 SQL = {
+    "p1_reasons": f"""select src, reason, count(*) n from (select 'sam_lines' src, {_SAM_WHY} reason from ({_SAM_OK}) where not ok
+        union all select 'variant_lines', {_VAR_WHY} from (select x.*, l.line from ({_VAR_OK}) x join variant_lines l using (line_id)) where not ok) group by 1, 2""",
     "p1_found": f"select 'sam_lines' src, line_id from ({_SAM_OK}) where not ok union all select 'variant_lines', line_id from ({_VAR_OK}) where not ok",
     "p1_loaded_sam": f"""select line_id, f[1] qname, cast(f[2] as int) flag, f[3] rname, cast(f[4] as int) pos, cast(f[5] as int) mapq, f[6] cigar, f[7] rnext,
         cast(f[8] as int) pnext, cast(f[9] as int) tlen, f[10] seq, cast(len(f) - 11 as bigint) n_tags from ({_SAM_OK}) where ok""",

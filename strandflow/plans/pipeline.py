@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import cleaning, graph, kmers, lines, placement, repath, stats
+from strandflow.operators import cleaning, evidence, graph, kmers, lines, placement, repath, stats
 from strandflow.sources import sinks
 
 
@@ -30,6 +30,8 @@ class Settings:
     min_component: int = 200
     max_component_edge: int = 1000
     min_links: int = 3
+    path_qual: int = 30
+    min_line: int = 1000
 
 
 @dataclass
@@ -89,7 +91,7 @@ class Pipeline:
         edges = cleaning.delete_edges(edges, cleaning.unsupported_branches(edges, placement.edge_support(steps, edges)))
         self._save("clean_supported", edges)
         edges = self.load("clean_supported")
-        edges = cleaning.delete_edges(edges, cleaning.popped_bubbles(cleaning.simple_bubbles(edges), self._weights(steps, edges)))
+        edges = cleaning.delete_edges(edges, self._popped(edges))
         self._save("clean_popped", edges)
         edges = self.load("clean_popped")
         edges = cleaning.delete_edges(edges, cleaning.hanging_ends(edges, s.max_hang, s.hang_ratio))
@@ -98,12 +100,13 @@ class Pipeline:
         edges = cleaning.delete_edges(edges, cleaning.small_components(edges, s.max_component_edge, s.min_component))
         self._save("clean_edges", edges)
 
-    @staticmethod
-    def _weights(steps: DataFrame, edges: DataFrame) -> DataFrame:
-        """(edge, weight): reads on the edge or its inverse, each once."""
-        on = steps.select("edge", "read_id")
-        mirrored = on.join(edges.select("edge", "inv"), "edge").select(F.col("inv").alias("edge"), "read_id")
-        return placement.path_index(on.unionByName(mirrored)).withColumnRenamed("n_reads", "weight")
+    def _popped(self, edges: DataFrame) -> DataFrame:
+        """(edge): arms of bubbles that reads speak against; the repathed reads begin at the start of their path."""
+        paths = self.load("paths_k2").withColumn("off", F.lit(0))
+        bubbles = evidence.flanked_bubbles(edges)
+        texts = repath.path_sequences(paths.select(F.col("read_id").alias("id"), "edges"), self.load("edges_k2"), self.settings.k2)
+        reads = texts.select(F.col("id").alias("read_id"), "seq", F.array_repeat(F.lit(self.settings.path_qual), F.length("seq")).alias("qual"))
+        return cleaning.popped_bubbles(bubbles, edges, evidence.bubble_weights(bubbles, edges, paths, reads, self.settings.k2))
 
     def _lines(self) -> None:
         edges = self.load("clean_edges")
@@ -122,11 +125,14 @@ class Pipeline:
     def _final(self) -> None:
         edges = self.load("clean_edges")
         support = placement.edge_support(placement.path_steps(self.load("paths_k2")), edges)
-        seqs = lines.line_sequences(self.load("lines"), edges, support, self.settings.k2)
+        one = lines.one_of_two(self.load("lines"), edges)
+        seqs = lines.line_sequences(self.load("lines").join(one, "line", "left_semi"), edges, support, self.settings.k2)
         sinks.fasta_lines(seqs, "line", "seq").write.mode("overwrite").text(self._path("lines.fasta"))
         sinks.gfa_segments(edges).unionByName(sinks.gfa_links(edges)).write.mode("overwrite").text(self._path("graph.gfa"))
         sinks.histogram_lines(kmers.histogram(self.load("kmers"))).write.mode("overwrite").text(self._path("kmers.freqs"))
         sizes = self.load("line_stats").withColumn("bases", F.col("len") + self.settings.k2 - 1)
-        self._save("n50", stats.n50(sizes, "bases"))
-        totals = [F.coalesce(F.sum(F.when(F.col("bases") >= n, F.col("bases"))), F.lit(0)).alias(f"total_{n}") for n in (1, 1_000, 10_000, 100_000)]
+        self._save("n50", stats.n50(sizes.where(F.col("len") >= self.settings.min_line), "bases"))
+        # each line stands there twice, once for each strand
+        totals = [F.floor(F.coalesce(F.sum(F.when(F.col("len") >= n, F.col("bases"))), F.lit(0)) / 2).alias(f"total_{n}") for n in (1_000, 10_000, 100_000)]
         self._save("totals", sizes.agg(*totals))
+        self.spark.createDataFrame([(n, float(t)) for n, t in self.times] or [("final", 0.0)], "section string, wall double").write.mode("overwrite").parquet(self._path("times"))

@@ -113,10 +113,11 @@ def branch_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def branches_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Branches that lose by the votes; the bounds are those of reads without a low quality."""
     reads, edges, paths = _laid(spark, d)
     votes = evidence.branch_votes(edges, paths, reads, K)
     ways = evidence.branch_extensions(edges, K).select("vertex", "branch").distinct()
-    return cleaning.branch_scores(votes, branches=ways)
+    return cleaning.branch_scores(votes, top=5000, weak=2500, branches=ways)
 
 
 def bubbles_popped(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +258,11 @@ _KEPT = f"""{_BOTH}, cov as (select e.edge, round(coalesce(p, 0) / n_kmers, 6) c
   lead_ as (select edge from kept where edge not in (select v from mlink)),
   mwalk(head, edge, r, plus) as (select edge, edge, 0, 0 from lead_ union all select head, v, r + 1, plus + n_kmers from mwalk join mlink on edge = u join kept using (edge))"""
 
+_REAL = f"{_GRAPH}, {paths_cte()}"
 SQL = {
+    "edge_support": f"{_REAL}, e as (select read_id, max(step) last from steps group by 1) select edge, count(*) support from (select edge from steps where step > 0 union all select inv from steps join e using (read_id) where step < last) group by 1",
+    "edge_coverage": f"""{_REAL}, p as (select edge, count(distinct read_id >> 1) n from (select edge, read_id from steps union all select inv, read_id from steps) group by 1)
+        select edge, coalesce(n, 0) pairs, round(coalesce(n, 0) / n_kmers, 6) cov from edges left join p using (edge)""",
     "simple_bubbles": f"""{_P}, {_D}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges group by 1, 2)
         select src, dst, e1, e2 from p join d a on a.v = src join d b on b.v = dst where n = 2 and a.o = 2 and b.i = 2 and src <> dst""",
     "canonical_repeats": f"{_P}, {_D}, {_REPEATS} select repeat, in1, in2, out1, out2 from rep",
@@ -275,7 +280,7 @@ SQL = {
         select cast(c as double) bin_center, count(*) n, round(count(*) / sum(count(*)) over (), 6) mass from h group by c""",
     "branch_votes": f"{_P}, {_VOTES} select vertex, branch, count(*) votes, cast(sum(score) as bigint) total from votes group by 1, 2",
     "branches_cut": f"""{_P}, {_VOTES}, q as (select vertex, branch, dd, coalesce(sum(score) filter (score > dd), 0) q from (select vertex, branch, dd from (select distinct vertex, branch from ways where vertex in (select vertex from votes)), (select unnest(range(16)) dd)) left join votes using (vertex, branch) group by vertex, branch, dd),
-        b as (select *, max(q) over (partition by vertex, dd) best from q), l as (select * from b where best >= 100 and q <= 50 and best >= 5 * q and q < best)
+        b as (select *, max(q) over (partition by vertex, dd) best from q), l as (select * from b where best >= 5000 and q <= 2500 and best >= 5 * q and q < best)
         select vertex, branch from (select *, min(dd) over (partition by vertex) m from l) where dd = m""",
     "bubbles_popped": f"""{_P}, {_D}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges where src <> dst group by 1, 2),
         b as (select e1, e2, x.inv i1, y.inv i2 from p join d s on s.v = src join d t on t.v = dst join edges x on x.edge = e1 join edges y on y.edge = e2 where n = 2 and s.i = 1 and s.o = 2 and t.o = 1 and x.inv <> e2),

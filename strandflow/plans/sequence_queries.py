@@ -246,6 +246,8 @@ SQL = {
         union all select 'b_only', count(*) from (select kmer from b except select kmer from a) union all select 'any', count(*) from (select kmer from a union select kmer from b)""",
     "shaped_kmer_counts": f"""with {READS} select kmer, count(*) n from (select {' || '.join(f'substr(seq, p + {i}, 1)' for i in (1, 2, 4, 5, 7, 8, 10, 11))} kmer
         from (select seq, unnest(range(length(seq) - 11)) p from reads where length(seq) >= 12)) group by 1""",
+    "genome_size": f"""{_ONE}, h as (select n, count(*) kmers from kt group by 1), x as (select *, lead(kmers) over (order by n) nxt from h), v as (select coalesce(min(n) filter (nxt >= kmers), 1) valley from x)
+        select arg_max(n, (kmers, -n)) peak, cast(sum(n * kmers) as bigint) total, cast(floor(sum(n * kmers) / arg_max(n, (kmers, -n))) as bigint) size from h, v where n >= valley""",
     "canonical_forms": f"""select case when u < {rc('u')} then 'FWD' when u > {rc('u')} then 'REV' else 'PALINDROME' end form, count(*) n
         from (select upper(kmer) u from kmer_nodes where regexp_full_match(kmer, '[ACGTacgt]{{24}}')) group by 1""",
     "palindromes": f"with {READS} select fwd kmer, count(*) n from (select substr(seq, p + 1, 8) fwd from (select seq, unnest(range(length(seq) - 7)) p from reads where length(seq) >= 8)) where fwd = {rc('fwd')} group by 1",

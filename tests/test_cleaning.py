@@ -45,10 +45,10 @@ def test_pull_apart(spark, s, want):
 def test_bubbles_repeats_loops_plasmid(spark):
     bubble = graph(spark, [("in", "0", "1", 9), ("a", "1", "2", 5), ("b", "1", "2", 6), ("out", "2", "3", 9)])
     assert [tuple(r) for r in cleaning.simple_bubbles(bubble).collect()] == [("1", "2", "a", "b")]
-    weights = spark.createDataFrame([("a", 2), ("b", 60)], "edge string, weight int")
-    assert names(cleaning.popped_bubbles(cleaning.simple_bubbles(bubble), weights)) == ["a"]
-    even = spark.createDataFrame([("a", 9), ("b", 12)], "edge string, weight int")
-    assert names(cleaning.popped_bubbles(cleaning.simple_bubbles(bubble), even)) == []
+    weights = spark.createDataFrame([("a", 2.0), ("b", 60.0)], "edge string, weight double")
+    assert names(cleaning.popped_bubbles(cleaning.simple_bubbles(bubble), bubble, weights)) == ["a"]
+    even = spark.createDataFrame([("a", 9.0), ("b", 12.0)], "edge string, weight double")
+    assert names(cleaning.popped_bubbles(cleaning.simple_bubbles(bubble), bubble, even)) == []
     rep = graph(spark, [("i1", "0", "2", 9), ("i2", "1", "2", 9), ("r", "2", "3", 5), ("o1", "3", "4", 9), ("o2", "3", "5", 9)])
     assert [tuple(r) for r in cleaning.canonical_repeats(rep).collect()] == [("r", "i1", "i2", "o1", "o2")]
     loop = graph(spark, [("p", "0", "1", 900), ("r", "1", "2", 50), ("l", "2", "1", 60), ("n", "2", "3", 900)])
@@ -102,3 +102,11 @@ def test_coverage_mass(spark):
     got = {r.line: r.mass for r in lines.coverage_mass(spark.createDataFrame(data, "line string, cov double, len int")).collect()}
     want = {a: sum(m for _, d, m in data if c * 0.92 <= d <= c * 1.08) for a, c, _ in data if c > 0}
     assert got == want
+
+
+def test_small_components_keep_circles_and_long_ways(spark):
+    circle = [("a", "1", "2", 90), ("b", "2", "3", 100), ("c", "3", "2", 100)]  # a source and a circle
+    long_ = [("d", "5", "6", 600), ("e", "6", "7", 600)]
+    short = [("f", "8", "9", 300), ("g", "9", "10", 400)]
+    tiny = [("h", "11", "11", 50)]
+    assert names(cleaning.small_components(graph(spark, circle + long_ + short + tiny))) == ["f", "g", "h"]

@@ -13,7 +13,11 @@ QUICK = (
     "p1_found", "p1_loaded_sam", "p1_loaded_variants", "p4_found", "p4_figures", "p5_found", "p5_covered", "kmer_histogram", "kmer_context", "kmer_good_context", "quality_trim",
     "kmer_bispectrum", "palindromes", "homopolymer_runs", "n50_by_sample", "nx_table", "ngx_table", "interval_depths", "interval_stab_counts", "latest_view_before_purchase",
     "sliding_event_values", "coverage_rollup", "placed_reads_index", "reads_placed_or_not", "fragment_distribution", "pair_links", "pair_mismatch_score", "probability_tails", "efasta_sites",
-    "fraction_subsample", "document_tokens", "reads_with_library",
+    "fraction_subsample", "document_tokens", "reads_with_library", "p1_reasons", "genome_size", "edge_support", "edge_coverage", "small_components", "involution_violations", "streamed_event_windows", "streamed_kmer_counts",
+    "kmer_range_clean", "kmer_saturated", "kmer_odd_canonical", "kmer_locations", "sequence_features", "mate_overlaps", "read_length_distribution", "probability_table", "combined_estimates", "best_price_cutoff",
+    "sampled_orders", "linear_fits", "coverage_cube", "coverage_grouping_sets", "event_properties", "widest_names", "nearest_band", "plain_sql", "n50_by_function", "expanded_ranges", "copy_number_share", "shared_pairs",
+    "simple_bubbles", "canonical_repeats", "unrollable_loops", "circle_sequences", "planted_steps", "path_violations", "read_layout", "path_fragments", "branch_votes", "branches_cut", "bubbles_popped", "repeat_scores",
+    "repeats_apart", "repeat_paths", "loops_unrolled", "chains_merged", "merged_read_paths", "plasmids_unwound", "lone_edges", "planted_support", "unsupported_branches",
 )
 
 

@@ -112,15 +112,21 @@ def far_cte(limit: int) -> str:
           union select src from edges join far on dst = vertex where reach + n_kmers > {limit} union select src from edges join bad on dst = vertex)"""
 
 
+_HANGING = f"""{far_cte(120)},
+        r as (select v, case when v in (select vertex from bad) then 120 else (select max(reach) from far where vertex = v) end reach, v not in (select vertex from bad) complete from (select src v from edges union select dst from edges)),
+        f as (select edge, src, n_kmers + reach dist, complete, max(n_kmers + reach) over (partition by src) best, count(*) over (partition by src) n from edges join r on r.v = dst),
+        hang as (select edge from f where n > 1 and complete and dist <= 60 and best >= 2 * dist)"""
 _DEG = "d as (select vertex v, n_in i, n_out o from deg)"
 SQL = {
     "fraction_subsample": f"with {READS} select distinct (read_id >> 1) + 1 pair from reads where read_id < 2 or floor(((read_id >> 1) + 1) * 0.25) > floor((read_id >> 1) * 0.25)",
     "gfa_links": f"""{_GRAPH} select 'L' || chr(9) || 'edge' || least(a.edge, a.inv) || chr(9) || case when a.edge <= a.inv then '+' else '-' end || chr(9) || 'edge' || least(b.edge, b.inv) || chr(9)
         || case when b.edge <= b.inv then '+' else '-' end || chr(9) || '0M' line from edges a join edges b on a.dst = b.src where a.edge < b.inv or (a.edge = b.inv and b.edge <= a.inv)""",
-    "hanging_ends": f"""{_GRAPH}, {far_cte(120)},
-        r as (select v, case when v in (select vertex from bad) then 120 else (select max(reach) from far where vertex = v) end reach, v not in (select vertex from bad) complete from (select src v from edges union select dst from edges)),
-        f as (select edge, src, n_kmers + reach dist, complete, max(n_kmers + reach) over (partition by src) best, count(*) over (partition by src) n from edges join r on r.v = dst)
-        select edge from f where n > 1 and complete and dist <= 60 and best >= 2 * dist""",
+    "hanging_ends": f"{_GRAPH}, {_HANGING} select edge from hang",
+    "merged_chains": f"""{_GRAPH}, {_HANGING}, kept as (select * from edges where edge not in (select edge from hang) and inv not in (select edge from hang)),
+        kdeg as (select vertex, sum(i) i, sum(o) o from (select src vertex, 0 i, 1 o from kept union all select dst, 1, 0 from kept) group by 1),
+        mlink as (select a.edge u, b.edge v from kept a join kept b on a.dst = b.src join kdeg on vertex = a.dst where i = 1 and o = 1 and a.src <> a.dst and b.src <> b.dst),
+        mwalk(head, edge) as (select edge, edge from kept where edge not in (select v from mlink) union all select head, v from mwalk join mlink on edge = u)
+        select head edge, cast(sum(n_kmers) as bigint) n_kmers, count(*) parts from mwalk join kept using (edge) group by head""",
     "small_components": f"""{_GRAPH}, {COMPONENTS}, {far_cte(60)}, p as (select edge, src, dst, n_kmers, component from edges join comp on vertex = src),
         s as (select component, max(n_kmers) top, sum(n_kmers) total, max(case when src in (select vertex from bad) then 1 else 0 end) long from p group by 1)
         select edge from p join s using (component) where top <= 60 and (total < 100 or long = 0)""",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import cleaning, evidence, graph, kmers, placement
+from strandflow.operators import cleaning, evidence, graph, kmers, lines, placement
 from strandflow.plans.sequence_queries import _GRAPH, MIN_FREQ, READS, K, rc
 from strandflow.plans.structure_queries import far_cte
 from strandflow.session import cut, written_once
@@ -200,11 +200,20 @@ def unsupported_branches(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.unsupported_branches(edges, placement.edge_support(placement.path_steps(paths), edges), most=3, least=10)
 
 
+def line_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Lines through a bubble for every supplier: length over the cell, and pairs of reads on the line or its inverse."""
+    reads, edges = _graph(spark, d, (0,))
+    paths = cut(placement.read_paths(placement.place_reads(reads, edges, K), edges))
+    found = cut(lines.find_lines(edges, lines.find_cells(edges)))
+    sizes = lines.line_lengths(found, edges)
+    return sizes.join(lines.line_pairs(found, edges, placement.path_steps(paths)), "line", "left").select("line", "len", "npairs")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         simple_bubbles, canonical_repeats, unrollable_loops, circle_sequences, planted_steps, path_violations, read_layout, path_fragments, branch_votes, branches_cut, bubbles_popped, repeat_scores,
-        repeats_apart, repeat_paths, loops_unrolled, chains_merged, merged_read_paths, plasmids_unwound, lone_edges, planted_support, unsupported_branches,
+        repeats_apart, repeat_paths, loops_unrolled, chains_merged, merged_read_paths, plasmids_unwound, lone_edges, planted_support, unsupported_branches, line_stats,
     )
 }
 
@@ -263,6 +272,10 @@ SQL = {
     "edge_support": f"{_REAL}, e as (select read_id, max(step) last from steps group by 1) select edge, count(*) support from (select edge from steps where step > 0 union all select inv from steps join e using (read_id) where step < last) group by 1",
     "edge_coverage": f"""{_REAL}, p as (select edge, count(distinct read_id >> 1) n from (select edge, read_id from steps union all select inv, read_id from steps) group by 1)
         select edge, coalesce(n, 0) pairs, round(coalesce(n, 0) / n_kmers, 6) cov from edges left join p using (edge)""",
+    "line_stats": f"""{planted_graph((0,))}, {paths_cte()}, {_D}, c as (select src v, dst w, min(edge) e1, max(edge) e2, sum(n_kmers) n from edges where src <> dst group by 1, 2 having count(*) = 2),
+        l as (select a.edge line, a.n_kmers + cast(floor(n / 2) as bigint) + z.n_kmers len, [a.edge, e1, e2, z.edge] parts from c join d p on p.v = c.v join d q on q.v = w join edges a on a.dst = c.v join edges z on z.src = w where p.i = 1 and p.o = 2 and q.i = 2 and q.o = 1),
+        o as (select line, unnest(parts) edge from l), b as (select * from o union select line, inv from o join edges using (edge))
+        select line, cast(len as bigint) len, (select count(distinct read_id >> 1) from b join steps using (edge) where b.line = l.line) npairs from l""",
     "simple_bubbles": f"""{_P}, {_D}, p as (select src, dst, count(*) n, min(edge) e1, max(edge) e2 from edges group by 1, 2)
         select src, dst, e1, e2 from p join d a on a.v = src join d b on b.v = dst where n = 2 and a.o = 2 and b.i = 2 and src <> dst""",
     "canonical_repeats": f"{_P}, {_D}, {_REPEATS} select repeat, in1, in2, out1, out2 from rep",

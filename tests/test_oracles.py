@@ -17,7 +17,7 @@ QUICK = (
     "kmer_range_clean", "kmer_saturated", "kmer_odd_canonical", "kmer_locations", "sequence_features", "mate_overlaps", "read_length_distribution", "probability_table", "combined_estimates", "best_price_cutoff",
     "sampled_orders", "linear_fits", "coverage_cube", "coverage_grouping_sets", "event_properties", "widest_names", "nearest_band", "plain_sql", "n50_by_function", "expanded_ranges", "copy_number_share", "shared_pairs",
     "simple_bubbles", "canonical_repeats", "unrollable_loops", "circle_sequences", "planted_steps", "path_violations", "read_layout", "path_fragments", "branch_votes", "branches_cut", "bubbles_popped", "repeat_scores",
-    "repeats_apart", "repeat_paths", "loops_unrolled", "chains_merged", "merged_read_paths", "plasmids_unwound", "lone_edges", "planted_support", "unsupported_branches",
+    "repeats_apart", "repeat_paths", "loops_unrolled", "chains_merged", "merged_read_paths", "plasmids_unwound", "lone_edges", "planted_support", "unsupported_branches", "line_stats",
 )
 
 

@@ -6,16 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: How much wider the bins of a level are than those of the level below, and how many levels there are.
+WIDER, LEVELS = 16, 14
+
+
 def stab_join(points: DataFrame, intervals: DataFrame, key: str, pos: str, start: str, stop: str, width: int = 4096) -> DataFrame:
-    """Points with every interval of their key that holds them: an equi-join on key and bin, then a filter.
+    """Points with every interval of their key that holds them: an equi-join on key, level and bin, then a filter.
 
-    An interval is laid into each bin of ``width`` that it touches; a point lies in one bin, so no
-    pair comes out twice. Nulls meet nothing; intervals that are none ([stop <= start]) hold nothing.
+    An interval lies on the level whose bins are as wide as it is long, in one bin or two, however
+    long it is; the bins of the lowest level are ``width`` wide. A point lies in one bin of each
+    level that is in use, so no pair comes out twice. Nulls meet nothing; intervals that are none ([stop <= start])
+    hold nothing.
     """
-    p = points.where(F.col(pos).isNotNull() & F.col(key).isNotNull()).withColumn("bin", F.floor(F.col(pos) / width))
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(float(WIDER)), level)
+    bin_of = lambda place, level: F.floor(place / size(level))
+    fit = F.ceil(F.log((F.col(stop) - F.col(start)).cast("double") / width) / F.log(F.lit(float(WIDER))))
     i = intervals.where((F.col(stop) > F.col(start)) & F.col(key).isNotNull())
-    i = i.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
-    return p.join(i, [key, "bin"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(stop))).drop("bin")
+    i = i.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), fit)).cast("int"))
+    used = sorted(r.level for r in i.select("level").distinct().collect()) or [0]  # LEVELS numbers at most
+    i = i.withColumn("bin", F.explode(F.sequence(bin_of(F.col(start), F.col("level")), bin_of(F.col(stop) - 1, F.col("level")))))
+    p = points.where(F.col(pos).isNotNull() & F.col(key).isNotNull()).withColumn("level", F.explode(F.array(*[F.lit(n) for n in used])))
+    p = p.withColumn("bin", bin_of(F.col(pos), F.col("level")))
+    return p.join(i, [key, "level", "bin"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(stop))).drop("bin", "level")
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, value: str, bucket_seconds: int = 86_400) -> DataFrame:

@@ -73,3 +73,11 @@ def test_latest_before(spark):
         best = max(((s, v) for j, s, v in right if j == k and k is not None and s is not None and t is not None and s <= t), default=(None, None))
         want[i] = best[1]
     assert {r.id: r.latest_v for r in out.collect()} == want
+
+
+def test_stab_join_of_very_long_intervals(spark):
+    ivs = [(1, 0, 10**13), (1, 10**12, 10**12 + 5), (1, 7, 8), (2, 5, 5), (2, 0, 10**17)]
+    pts = [(1, 7), (1, 10**12 + 4), (1, 10**13), (2, 5), (None, 7), (1, None)]
+    got = stab_join(spark.createDataFrame(pts, "k long, p long"), spark.createDataFrame(ivs, "k long, a long, b long"), "k", "p", "a", "b", 1000)
+    want = sorted((k, p, a, b) for k, p in pts for j, a, b in ivs if k == j and p is not None and a <= p < b)
+    assert sorted((r.k, r.p, r.a, r.b) for r in got.collect()) == want

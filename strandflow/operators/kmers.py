@@ -134,6 +134,19 @@ def bispectrum(a: DataFrame, b: DataFrame, cap: int | None = 20) -> DataFrame:
     return both.select(*capped).groupBy("na", "nb").agg(F.count(F.lit(1)).alias("kmers"))
 
 
+def set_sizes(reads: DataFrame, k: int) -> DataFrame:
+    """(part, kmers): sizes of the intersection, the differences and the union of the canonical k-mers of
+    two sets of reads, which the flags A and B of reads(seq, A, B) name.
+
+    One aggregate by k-mer, no join: no set is ever held by one process.
+    """
+    rows = reads.where(F.length("seq") >= k).select("A", "B", F.explode(kmers_of(F.col("seq"), k)).alias("fwd"))
+    sets = rows.groupBy(canonical(F.col("fwd")).alias("kmer")).agg(F.bool_or("A").alias("a"), F.bool_or("B").alias("b"))
+    parts = {"both": F.col("a") & F.col("b"), "a_only": F.col("a") & ~F.col("b"), "b_only": ~F.col("a") & F.col("b"), "any": F.lit(True)}
+    sums = sets.agg(*[F.count_if(c).alias(name) for name, c in parts.items()])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("part"), F.col(name).alias("kmers")) for name in parts])))
+
+
 def quality_spectrum(reads: DataFrame, k: int) -> DataFrame:
     """(min_qual, kmers): k-mers of the reads by the least quality among their letters.
 

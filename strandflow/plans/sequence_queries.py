@@ -75,15 +75,8 @@ def kmer_affix_spectrum(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_setops(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the intersection, the differences and the union of two samples' k-mer sets."""
-    reads = _reads(spark, d)
-    a = kmers.kmer_table(reads.where("sample like 'smpA%'"), K).select("kmer")
-    b = kmers.kmer_table(reads.where("sample like 'smpB%'"), K).select("kmer")
-    parts = {"both": a.intersect(b), "a_only": a.exceptAll(b), "b_only": b.exceptAll(a), "any": a.union(b).distinct()}
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count(F.lit(1)).alias("kmers")).select(F.lit(name).alias("part"), "kmers")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _reads(spark, d).select("read_id", "seq", *[F.col("sample").like(f"smp{x}%").alias(x) for x in "AB"]).where("A or B")
+    return kmers.set_sizes(rows, K)
 
 
 def shaped_kmer_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -76,3 +76,15 @@ def test_matching(spark):
     data = [("r", "i1", "o1", 3), ("r", "i2", "o2", 2), ("s", "i1", "o1", 3), ("s", "i1", "o2", 1), ("t", "i1", "o1", 0)]
     df = spark.createDataFrame(data, "region string, came string, goes string, n int")
     assert sorted(map(tuple, pathfinder.perfect_matching(df).collect())) == [("r", "i1", "o1"), ("r", "i2", "o2")]
+
+
+def test_set_sizes_are_one_aggregate(spark, tmp_path):
+    """Sets joined with each other were sent to the driver as broadcasts."""
+    from strandflow.plans.sequence_queries import kmer_setops
+
+    a, b, shared = "ACGTTGCAAGCTTACGGATCCAGT", "TTGACCATGGCATTCAGGACATCA", "GGATTACAGGCATTACCAGATTAC"
+    rows = [(1, a, "smpA1"), (2, shared, "smpA2"), (3, shared, "smpB1"), (4, b, "smpB1"), (5, b, "smpB1"), (6, a[:20], "smpA1"), (7, "A" * 24, None), (8, "C" * 24, "other")]
+    spark.createDataFrame([(i, s, [30] * len(s), x) for i, s, x in rows], "read_id long, seq string, qual array<int>, sample string").write.parquet(f"{tmp_path}/oreads.parquet")
+    df = kmer_setops(spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.part: r.kmers for r in df.collect()} == {"both": 1, "a_only": 1, "b_only": 1, "any": 3}

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.graph import components, vertex_degrees
-from strandflow.session import cut
+from strandflow.session import cut_large, sort_merged
 
 
 def delete_edges(edges: DataFrame, doomed: DataFrame) -> DataFrame:
     """edges without those in ``doomed`` (edge) and their inverses."""
-    doomed = cut(doomed.select("edge"))  # read twice
+    doomed = cut_large(doomed.select("edge"))  # read twice
     gone = doomed.unionByName(doomed.join(edges.select("edge", "inv"), "edge").select(F.col("inv").alias("edge"))).distinct()
     return edges.join(gone, "edge", "left_anti")
 
@@ -59,14 +59,14 @@ def distance_to_end(edges: DataFrame, limit: int) -> DataFrame:
     at most as many as edges fit in the limit; each round is one join, checkpointed.
     """
     vertices = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
-    known = cut(vertices.join(edges.select(F.col("src").alias("vertex")), "vertex", "left_anti").select("vertex", F.lit(0).alias("reach")))
+    known = cut_large(vertices.join(edges.select(F.col("src").alias("vertex")), "vertex", "left_anti").select("vertex", F.lit(0).alias("reach")))
     total = vertices.count()
     done = known.count()
     while done < total:
         ahead = edges.join(known.select(F.col("vertex").alias("dst"), "reach"), "dst", "left")
         ready = ahead.groupBy(F.col("src").alias("vertex")).agg(F.max(F.col("reach").isNull()).alias("open"), F.max(F.col("reach") + F.col("n_kmers")).alias("reach"))
         fresh = ready.where(~F.col("open") & (F.col("reach") <= limit)).join(known.select("vertex"), "vertex", "left_anti").select("vertex", "reach")
-        known = cut(known.unionByName(fresh))
+        known = cut_large(known.unionByName(fresh))
         now = known.count()
         if now == done:
             break
@@ -88,10 +88,10 @@ def small_components(edges: DataFrame, max_edge: int = 1000, max_total: int = 20
     ``max_total`` in all, and those that hold no circle and no way of more than ``max_edge``.
     """
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    placed = cut(edges.join(found.withColumnRenamed("node", "src"), "src"))
+    placed = cut_large(edges.join(found.withColumnRenamed("node", "src"), "src"))
     sums = placed.groupBy("component").agg(F.max("n_kmers").alias("top"), F.sum("n_kmers").alias("total")).where(F.col("top") <= max_edge)
     tiny = sums.where(F.col("total") < max_total).select("component")
-    rest = cut(placed.join(sums.where(F.col("total") >= max_total).select("component"), "component", "left_semi"))
+    rest = cut_large(placed.join(sums.where(F.col("total") >= max_total).select("component"), "component", "left_semi"))
     # a way is incomplete where it is longer than that or turns in a circle
     long_ = distance_to_end(rest, max_edge).where(~F.col("complete")).select(F.col("vertex").alias("src"))
     kept = rest.join(long_, "src", "left_semi").select("component").distinct()
@@ -136,12 +136,12 @@ def popped_bubbles(bubbles: DataFrame, edges: DataFrame, weights: DataFrame, p:
 
 def canonical_repeats(edges: DataFrame) -> DataFrame:
     """(repeat, in1, in2, out1, out2): an edge that alone joins two edges in to two edges out."""
-    deg = cut(vertex_degrees(edges))
+    deg = cut_large(vertex_degrees(edges))
     mid = edges.join(deg.select(F.col("vertex").alias("src"), F.col("n_in").alias("li"), F.col("n_out").alias("lo")), "src").join(deg.select(F.col("vertex").alias("dst"), F.col("n_in").alias("ri"), F.col("n_out").alias("ro")), "dst")
     mid = mid.where("li = 2 and lo = 1 and ri = 1 and ro = 2 and src <> dst").select(F.col("edge").alias("repeat"), "src", "dst")
     into = edges.groupBy(F.col("dst").alias("src")).agg(F.min("edge").alias("in1"), F.max("edge").alias("in2"))
     onto = edges.groupBy(F.col("src").alias("dst")).agg(F.min("edge").alias("out1"), F.max("edge").alias("out2"))
-    return cut(mid.join(into, "src").join(onto, "dst").select("repeat", "in1", "in2", "out1", "out2"))
+    return cut_large(mid.join(into, "src").join(onto, "dst").select("repeat", "in1", "in2", "out1", "out2"))
 
 
 def separated_repeats(scores: DataFrame, least: int = 5, ratio: int = 5) -> DataFrame:
@@ -184,7 +184,7 @@ def plasmid_patterns(edges: DataFrame, pairs: DataFrame, links: DataFrame, least
     for name in ("e1", "e2", "back"):
         found = found.join(pairs.select(F.col("edge").alias(name), F.col("pairs").alias(f"p_{name}")), name)
     found = found.where(" and ".join(f"p_{n} >= {least_pairs}" for n in ("e1", "e2", "back")))
-    tied = links.select(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2"), "n").groupBy("e1", "e2").agg(F.sum("n").alias("n"))
+    tied = sort_merged(links.select(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2"), "n").groupBy("e1", "e2").agg(F.sum("n").alias("n")))
     return found.join(tied, ["e1", "e2"]).where(F.col("n") >= least_links).select("e1", "e2", "back") if "n" not in found.columns else found.drop("n").join(tied, ["e1", "e2"]).where(F.col("n") >= least_links).select("e1", "e2", "back")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandflow.functions.dna import revcomp
 from strandflow.operators.graph import vertex_degrees
 from strandflow.operators.repath import path_sequences
-from strandflow.session import cut
+from strandflow.session import cut_large, sort_merged
 
 
 def mismatch_cost(read: Column, qual: Column, text: Column, at: Column) -> Column:
@@ -67,7 +67,7 @@ def path_fragments(paths: DataFrame, edges: DataFrame, least: int = 10_000, limi
     first = paths.select(F.shiftright("read_id", 1).alias("pair"), F.col("read_id").bitwiseAND(F.lit(1)).alias("mate"), "off", F.col("edges")[0].alias("edge"))
     one = first.where("mate = 0").join(size, "edge").select("pair", "edge", F.col("off").alias("a"))
     two = first.where("mate = 1").join(size, "edge").select("pair", F.col("inv").alias("edge"), (F.col("size") - F.col("off")).alias("b"))
-    frags = one.join(two, ["pair", "edge"]).select((F.col("b") - F.col("a")).alias("len")).where((F.col("len") >= 0) & (F.col("len") < limit))
+    frags = sort_merged(one).join(two, ["pair", "edge"]).select((F.col("b") - F.col("a")).alias("len")).where((F.col("len") >= 0) & (F.col("len") < limit))
     counted = frags.groupBy((F.floor(F.col("len") / width) * width + width / 2).alias("bin_center")).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n").alias("total"))  # one row
     return counted.join(F.broadcast(total)).select("bin_center", "n", F.round(F.col("n") / F.col("total"), 6).alias("mass"))
@@ -81,7 +81,7 @@ def branch_extensions(edges: DataFrame, k: int, depth: int = 250, most: int = 10
     """
     forks = vertex_degrees(edges).where("n_in >= 1 and n_out >= 2").select(F.col("vertex").alias("src"))
     ahead = edges.select(F.col("src").alias("end"), "seq", F.col("n_kmers").alias("more"), F.col("dst").alias("to"))
-    live = cut(edges.join(forks, "src", "left_semi").select(F.col("src").alias("vertex"), F.col("edge").alias("branch"), F.col("dst").alias("end"), F.col("n_kmers").cast("bigint").alias("n"), F.col("seq").alias("text"), F.lit(False).alias("dead")))
+    live = cut_large(edges.join(forks, "src", "left_semi").select(F.col("src").alias("vertex"), F.col("edge").alias("branch"), F.col("dst").alias("end"), F.col("n_kmers").cast("bigint").alias("n"), F.col("seq").alias("text"), F.lit(False).alias("dead")))
     while not live.where((F.col("n") < depth) & ~F.col("dead")).isEmpty():
         open_ = (F.col("n") < depth) & ~F.col("dead")
         letters = F.concat("text", F.substring(F.col("seq"), F.lit(k), F.length("seq")))
@@ -89,7 +89,7 @@ def branch_extensions(edges: DataFrame, k: int, depth: int = 250, most: int = 10
             "vertex", "branch", F.coalesce("to", "end").alias("end"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce(letters, F.col("text")).alias("text"), F.col("to").isNull().alias("dead")
         )
         both = live.where(~open_).unionByName(grown)
-        live = cut(both.withColumn("ways", F.count(F.lit(1)).over(Window.partitionBy("vertex"))).where(F.col("ways") <= most).drop("ways"))
+        live = cut_large(both.withColumn("ways", F.count(F.lit(1)).over(Window.partitionBy("vertex"))).where(F.col("ways") <= most).drop("ways"))
     reach = live.withColumn("depth", F.least(F.lit(depth), F.min(F.when(F.col("dead"), F.col("n"))).over(Window.partitionBy("vertex"))))
     return reach.select("vertex", "branch", F.substring(F.col("text"), F.lit(1), (F.col("depth") + (k - 1)).cast("int")).alias("text")).distinct()
 
@@ -98,25 +98,25 @@ def branch_votes(edges: DataFrame, paths: DataFrame, reads: DataFrame, k: int, d
     """(vertex, branch, score): for each read at a fork, on either strand, the branch it differs least from
     and by how much less than from the next one; reads that do not decide have no vote.
     """
-    strands = cut(both_strands(paths, edges, reads, k).withColumn("letters", F.split("seq", "")))
-    starts = cut(step_starts(strands, edges))
+    strands = cut_large(both_strands(paths, edges, reads, k).withColumn("letters", F.split("seq", "")))
+    starts = cut_large(step_starts(strands, edges))
     at = starts.select("read_id", "turned", F.col("src").alias("vertex"), "at").unionByName(starts.select("read_id", "turned", F.col("dst").alias("vertex"), (F.col("at") + F.col("n_kmers")).cast("int").alias("at"))).distinct()
-    ways = cut(branch_extensions(edges, k, depth, most).select("vertex", "branch", F.split("text", "").alias("way")))
+    ways = cut_large(branch_extensions(edges, k, depth, most).select("vertex", "branch", F.split("text", "").alias("way")))
     met = at.join(ways, "vertex").join(strands.select("read_id", "turned", "letters", "qual"), ["read_id", "turned"])
     cost = met.select("vertex", "branch", "read_id", "turned", "at", mismatch_cost(F.col("letters"), F.col("qual"), F.col("way"), F.col("at")).alias("cost"))
     least = cost.groupBy("vertex", "read_id", "turned", "at", "branch").agg(F.min("cost").alias("cost"))
     best = least.groupBy("vertex", "read_id", "turned", "at").agg(F.array_sort(F.collect_list(F.struct("cost", "branch"))).alias("c"))
-    return cut(best.select("vertex", F.col("c")[0]["branch"].alias("branch"), (F.get(F.col("c"), 1)["cost"] - F.col("c")[0]["cost"]).alias("score")).where("score > 0"))
+    return cut_large(best.select("vertex", F.col("c")[0]["branch"].alias("branch"), (F.get(F.col("c"), 1)["cost"] - F.col("c")[0]["cost"]).alias("score")).where("score > 0"))
 
 
 def flanked_bubbles(edges: DataFrame) -> DataFrame:
     """(src, dst, e1, e2): two edges side by side, one edge in before them and one out behind that leads elsewhere."""
-    deg = cut(vertex_degrees(edges))
+    deg = cut_large(vertex_degrees(edges))
     pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("e1"), F.max("edge").alias("e2")).where("n = 2").drop("n")
     left = deg.where("n_in = 1 and n_out = 2").select(F.col("vertex").alias("src"))
     right = deg.where("n_out = 1").select(F.col("vertex").alias("dst"))
     own = edges.where("src = dst").select(F.col("src").alias("dst"))
-    return cut(pairs.join(left, "src", "left_semi").join(right, "dst", "left_semi").join(own, "dst", "left_anti").select("src", "dst", "e1", "e2"))
+    return cut_large(pairs.join(left, "src", "left_semi").join(right, "dst", "left_semi").join(own, "dst", "left_anti").select("src", "dst", "e1", "e2"))
 
 
 def bubble_weights(bubbles: DataFrame, edges: DataFrame, paths: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -131,14 +131,14 @@ def bubble_weights(bubbles: DataFrame, edges: DataFrame, paths: DataFrame, reads
     id_ = lambda side: F.concat_ws(":", F.col("read_id").cast("string"), F.col("step").cast("string"), F.lit(side))
     other = F.transform("edges", lambda x, i: F.when(i == F.col("step"), F.col("alt")).otherwise(x))
     shift = F.when(F.col("step") == 0, F.col("off") + F.col("alt_kmers") - F.col("n_kmers")).otherwise(F.col("off")).cast("int")
-    rows = cut(on.select("read_id", "step", "edge", "alt", id_("own").alias("own"), id_("alt").alias("via"), "edges", other.alias("others"), F.col("off").cast("int").alias("off"), shift.alias("alt_off")))
-    texts = cut(path_sequences(rows.select(F.col("own").alias("id"), "edges").unionByName(rows.select(F.col("via").alias("id"), F.col("others").alias("edges"))), edges, k).select("id", F.split("seq", "").alias("seq")))
+    rows = cut_large(on.select("read_id", "step", "edge", "alt", id_("own").alias("own"), id_("alt").alias("via"), "edges", other.alias("others"), F.col("off").cast("int").alias("off"), shift.alias("alt_off")))
+    texts = cut_large(path_sequences(rows.select(F.col("own").alias("id"), "edges").unionByName(rows.select(F.col("via").alias("id"), F.col("others").alias("edges"))), edges, k).select("id", F.split("seq", "").alias("seq")))
     laid = rows.join(texts.select(F.col("id").alias("own"), F.col("seq").alias("t1")), "own").join(texts.select(F.col("id").alias("via"), F.col("seq").alias("t2")), "via").join(reads.select("read_id", F.split("seq", "").alias("seq"), "qual"), "read_id")
     costs = laid.select("edge", "alt", mismatch_cost(F.col("seq"), F.col("qual"), F.col("t1"), -F.col("off")).alias("q"), mismatch_cost(F.col("seq"), F.col("qual"), F.col("t2"), -F.col("alt_off")).alias("q_alt"))
     p = F.greatest(F.lit(0.5), 1 - F.pow(F.lit(10.0), -F.abs(F.col("q") - F.col("q_alt")) / 10))
     worse = F.col("q") > F.col("q_alt")
     parts = costs.select(F.inline(F.array(F.struct(F.when(worse, F.col("alt")).otherwise(F.col("edge")).alias("edge"), p.alias("w")), F.struct(F.when(worse, F.col("edge")).otherwise(F.col("alt")).alias("edge"), (1 - p).alias("w")))))
-    return cut(parts.groupBy("edge").agg(F.sum("w").alias("weight")))
+    return cut_large(parts.groupBy("edge").agg(F.sum("w").alias("weight")))
 
 
 def pair_edges(paths: DataFrame, edges: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -153,7 +153,7 @@ def repeat_scores(repeats: DataFrame, seen: DataFrame) -> DataFrame:
     ends = repeats.select("repeat", F.inline(F.array(*[F.struct(F.col(c).alias("edge"), F.lit(c).alias("as")) for c in ("in1", "in2", "out1", "out2")])))
     flags = ends.join(seen, "edge").groupBy("repeat", "pair", "turned").agg(*[F.max(F.col("as") == c).alias(c) for c in ("in1", "in2", "out1", "out2")])
     counts = flags.groupBy("repeat").agg(*[F.count_if(F.col(f"in{i}") & F.col(f"out{j}")).alias(f"s{i}{j}") for i in (1, 2) for j in (1, 2)])
-    return cut(repeats.select("repeat").join(counts, "repeat", "left").na.fill(0))
+    return cut_large(repeats.select("repeat").join(counts, "repeat", "left").na.fill(0))
 
 
 def repeat_copies(repeats: DataFrame, decided: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,12 +162,12 @@ def repeat_copies(repeats: DataFrame, decided: DataFrame, edges: DataFrame) -> D
     inv = edges.select("edge", "inv")
     for c in ("repeat", "came", "goes"):
         both = both.join(inv.select(F.col("edge").alias(c), F.col("inv").alias(f"i_{c}")), c)
-    return cut(both.select("repeat", "came", "goes", F.concat_ws("|", "repeat", "came", "goes").alias("copy"), F.concat_ws("|", "i_repeat", "i_goes", "i_came").alias("inv")))
+    return cut_large(both.select("repeat", "came", "goes", F.concat_ws("|", "repeat", "came", "goes").alias("copy"), F.concat_ws("|", "i_repeat", "i_goes", "i_came").alias("inv")))
 
 
 def pulled_apart(edges: DataFrame, copies: DataFrame) -> DataFrame:
     """edges with each repeat replaced by its copies, one between each way in and its way out."""
-    own = cut(edges.select(F.col("edge").alias("repeat"), "src", "dst", "seq", "n_kmers").join(copies, "repeat"))
+    own = cut_large(edges.select(F.col("edge").alias("repeat"), "src", "dst", "seq", "n_kmers").join(copies, "repeat"))
     name = lambda end: F.concat_ws("|", F.col(end), F.col("copy"))
     new = own.select(F.col("copy").alias("edge"), name("src").alias("src"), name("dst").alias("dst"), "seq", "n_kmers", "inv")
     into = own.select(F.col("came").alias("edge"), name("src").alias("new_dst"))
@@ -196,7 +196,7 @@ def unrolled(edges: DataFrame, loops: DataFrame) -> DataFrame:
     runs change places, so the first run's inverse is the second run of the inverse.
     """
     again = lambda c: F.concat(F.col(c), F.lit("'"))
-    own = cut(edges.join(loops.select(F.col("repeat").alias("edge"), "loop", "next"), "edge"))
+    own = cut_large(edges.join(loops.select(F.col("repeat").alias("edge"), "loop", "next"), "edge"))
     second = own.select(again("edge").alias("edge"), again("src").alias("src"), again("dst").alias("dst"), "seq", "n_kmers", "inv")
     back = own.select(F.col("loop").alias("edge"), again("src").alias("new_dst"))
     out = own.select(F.col("next").alias("edge"), again("dst").alias("new_src"))
@@ -211,7 +211,7 @@ def merged_edges(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """
     from strandflow.operators.cleaning import merge_chains
 
-    moves = cut(merge_chains(edges, k))
+    moves = cut_large(merge_chains(edges, k))
     parts = moves.join(edges.select(F.col("edge").alias("old"), "src", "dst", "seq", "n_kmers", F.col("inv").alias("old_inv")), "old")
     w = F.struct("offset", "n_kmers")
     joined = parts.groupBy("edge").agg(
@@ -258,10 +258,10 @@ def lone_edges(edges: DataFrame, most: int) -> DataFrame:
 
 def weak_branches(edges: DataFrame, coverage: DataFrame, most: float = 2.0, ratio: float = 5.0) -> DataFrame:
     """(edge) to delete: coverage of ``most`` or less beside a branch of the same vertex with ``ratio`` times it or more, on either side."""
-    rows = cut(edges.select("edge", "src", "dst").join(coverage, "edge", "left").withColumn("c", F.coalesce("cov", F.lit(0.0))))
+    rows = cut_large(edges.select("edge", "src", "dst").join(coverage, "edge", "left").withColumn("c", F.coalesce("cov", F.lit(0.0))))
     out = None
     for side in ("src", "dst"):
         top = rows.withColumn("top", F.max("c").over(Window.partitionBy(side)))
         weak = top.where((F.col("c") <= most) & (F.col("top") > 0) & (F.col("top") >= ratio * F.col("c"))).select("edge")
         out = weak if out is None else out.unionByName(weak)
-    return cut(out.distinct())
+    return cut_large(out.distinct())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.dna import kmers_of, revcomp
 from strandflow.operators.kmers import complement_bits
-from strandflow.session import cut
+from strandflow.session import cut_large, sort_merged
 
 
 def oriented(kmers: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def chains(nodes: DataFrame, link: DataFrame) -> DataFrame:
 
 
 def _rank(back: DataFrame, circles_too: bool) -> DataFrame:
-    state = cut(
+    state = cut_large(
         back.select(
             "node",
             F.coalesce("anc", "node").alias("anc"),
@@ -59,7 +59,7 @@ def _rank(back: DataFrame, circles_too: bool) -> DataFrame:
         moved = state.where(~F.col("done"))
         for _ in range(2):  # what an ancestor that is a head adds is nothing
             moved = moved.join(far, "anc").select("node", F.col("anc2").alias("anc"), (F.col("rank") + F.col("rank2")).alias("rank"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
-        state = cut(state.where("done").unionByName(moved))
+        state = cut_large(state.where("done").unionByName(moved))
         still = state.where(~F.col("done")).count()
         if still == open_before:
             break
@@ -76,7 +76,7 @@ def _lows(rings: DataFrame) -> DataFrame:
     """(node, low): least node of the circle each node lies on, by further doubling until nothing changes."""
     while True:
         far = rings.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
-        grown = cut(rings.join(far, "anc").select("node", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
+        grown = cut_large(rings.join(far, "anc").select("node", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
         rings = grown.drop("changed")
         if grown.where("changed").isEmpty():
             return rings.select("node", "low")
@@ -87,7 +87,7 @@ def unipaths(kmers: DataFrame) -> DataFrame:
 
     The letters of one path are gathered to one string, which is the record put out.
     """
-    nodes = cut(oriented(kmers))
+    nodes = cut_large(oriented(kmers))
     placed = chains(nodes, links(nodes))
     last = F.substring(F.col("node"), -1, 1)
     return (
@@ -107,7 +107,7 @@ def graph_edges(paths: DataFrame, k: int) -> DataFrame:
         "edge", F.substring("seq", 1, k - 1).alias("src"), F.substring("seq", -(k - 1), k - 1).alias("dst"), "seq", "n_kmers", "circle", revcomp(F.substring("seq", -k, k)).alias("opposite")
     )
     straight = rows.where(~F.col("circle")).withColumn("inv", F.col("opposite"))
-    round_ = rows.where("circle")
+    round_ = sort_merged(rows.where("circle"))
     on = round_.select(F.col("edge").alias("inv"), F.explode(kmers_of(F.col("seq"), k)).alias("opposite"))
     return straight.unionByName(round_.join(on, "opposite")).drop("opposite")
 
@@ -129,13 +129,13 @@ def components(pairs: DataFrame) -> DataFrame:
     Labels are pulled over the pairs and then shortened by pointer jumping, so rounds grow with the
     logarithm of the diameter on paths. Each round is checkpointed.
     """
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    both = cut_large(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut_large(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         pulled = label.join(near, "node").select("node", "component", F.least("component", "seen").alias("next"))
         jump = label.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        new = cut(pulled.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("component")).alias("changed")))
+        new = cut_large(pulled.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("component")).alias("changed")))
         label = new.drop("changed")
         if new.where("changed").isEmpty():
             return label

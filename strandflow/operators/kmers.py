@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.dna import canonical, kmers_of, revcomp
-from strandflow.session import cut
+from strandflow.session import cut_large
 
 
 def clean_reads(oreads: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def neighbours(kmers: DataFrame) -> DataFrame:
 
 def prune_adjacencies(kmers: DataFrame) -> DataFrame:
     """The same k-mers with the context bits dropped whose neighbour is not among them."""
-    kmers = cut(kmers)  # read three times below
+    kmers = cut_large(kmers)  # read three times below
     kept = neighbours(kmers).join(kmers.select(F.col("kmer").alias("other")), "other", "left_semi")
     bits = kept.groupBy("kmer").agg(
         F.bit_or(F.when(F.col("side") == "pred", base_bit(F.col("letter"))).otherwise(0)).alias("pred"),

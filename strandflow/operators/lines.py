@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators.graph import chains, vertex_degrees
-from strandflow.session import cut
+from strandflow.session import cut_large, sort_merged
 
 
 def find_cells(edges: DataFrame, max_paths: int = 50, max_depth: int = 10) -> DataFrame:
@@ -22,7 +22,7 @@ def find_cells(edges: DataFrame, max_paths: int = 50, max_depth: int = 10) -> Da
     ``max_paths`` paths, or with a dead end before the exit, have no cell: that is the definition,
     not a sample.
     """
-    deg = cut(vertex_degrees(edges))
+    deg = cut_large(vertex_degrees(edges))
     out = edges.select(F.col("src").alias("end"), F.col("edge").alias("next"), F.col("dst").alias("to"))
     entries = deg.where("n_in = 1 and n_out > 1").select(F.col("vertex").alias("entry"))
     exits = deg.where("n_out = 1 and n_in > 1").select(F.col("vertex").alias("end"), F.lit(True).alias("stop"))
@@ -31,13 +31,13 @@ def find_cells(edges: DataFrame, max_paths: int = 50, max_depth: int = 10) -> Da
     for _ in range(max_depth):
         grown = paths.join(out, "end").select("entry", F.col("to").alias("end"), F.concat("path", F.array("next")).alias("path"), "seen")
         loops = grown.where(F.array_contains("seen", F.col("end"))).select("entry").distinct()
-        grown = grown.withColumn("seen", F.concat("seen", F.array("end"))).join(loops, "entry", "left_anti")
+        grown = grown.withColumn("seen", F.concat("seen", F.array("end"))).join(sort_merged(loops), "entry", "left_anti")
         n = F.count(F.lit(1)).over(Window.partitionBy("entry"))
-        paths = cut(grown.withColumn("n", n).where(F.col("n") <= max_paths).drop("n"))
+        paths = cut_large(grown.withColumn("n", n).where(F.col("n") <= max_paths).drop("n"))
         if paths.isEmpty():
             break
         longest = paths if found is None else found.unionByName(paths)
-        found = cut(longest)
+        found = cut_large(longest)
     if found is None:
         return entries.select("entry", F.col("entry").alias("exit"), F.array().cast("array<array<string>>").alias("paths")).where("false")
     # paths cut at each exit they pass, in all ways to get there
@@ -53,7 +53,7 @@ def find_cells(edges: DataFrame, max_paths: int = 50, max_depth: int = 10) -> Da
     ends = deg.select(F.col("vertex").alias("exit"), F.col("n_in"))
     last = cells.select("entry", "exit", "paths", "depth", F.size(F.array_distinct(F.transform("paths", lambda p: F.element_at(p, -1)))).alias("ways")).join(ends, "exit").where("ways = n_in")
     firsts = deg.select(F.col("vertex").alias("entry"), "n_out")
-    whole = last.join(firsts, "entry").where(F.size(F.array_distinct(F.transform("paths", lambda p: p[0]))) == F.col("n_out")).join(open_, ["entry", "exit"], "left_anti")
+    whole = last.join(firsts, "entry").where(F.size(F.array_distinct(F.transform("paths", lambda p: p[0]))) == F.col("n_out")).join(sort_merged(open_), ["entry", "exit"], "left_anti")
     near = whole.groupBy("entry").agg(F.min_by(F.struct("exit", "paths"), F.struct("depth", "exit")).alias("c"))
     return near.select("entry", "c.exit", "c.paths")
 
@@ -64,15 +64,15 @@ def find_lines(edges: DataFrame, cells: DataFrame) -> DataFrame:
     A line is named by its first edge; on a circle, by its least. Every edge is on one line.
     """
     inside = cells.select(F.explode(F.flatten("paths")).alias("edge")).distinct()
-    units = edges.join(inside, "edge", "left_anti")
+    units = sort_merged(edges.join(inside, "edge", "left_anti"))
     deg = vertex_degrees(edges)
     plain = deg.where("n_in = 1 and n_out = 1").select(F.col("vertex").alias("entry"), F.col("vertex").alias("exit"))
     steps = plain.unionByName(cells.select("entry", "exit"))
     link = (
         units.select(F.col("edge").alias("u"), F.col("dst").alias("entry")).join(steps, "entry").join(units.select(F.col("edge").alias("v"), F.col("src").alias("exit")), "exit").where("u <> v").select("u", "v", "entry", "exit")
     )
-    once = cut(link.distinct())
-    placed = cut(chains(units.select(F.col("edge").alias("node")), once.select("u", "v")))
+    once = cut_large(link.distinct())
+    placed = cut_large(chains(units.select(F.col("edge").alias("node")), once.select("u", "v")))
     singles = placed.select(F.col("head").alias("line"), (F.col("rank") * 2).cast("int").alias("seg"), F.lit(0).alias("alt"), F.lit(0).alias("step"), F.col("node").alias("edge"))
     through = once.join(placed.select(F.col("node").alias("u"), "head", "rank"), "u").join(placed.select(F.col("node").alias("v"), F.col("rank").alias("next")), "v").where("next = rank + 1")
     alts = through.join(cells, ["entry", "exit"]).select(F.col("head").alias("line"), (F.col("rank") * 2 + 1).cast("int").alias("seg"), F.posexplode("paths").alias("alt", "path"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandflow.operators import cleaning, evidence, graph, kmers, lines, placement
 from strandflow.plans.sequence_queries import _GRAPH, MIN_FREQ, READS, K, rc
 from strandflow.plans.structure_queries import far_cte
-from strandflow.session import cut, written_once
+from strandflow.session import cut_large, sort_merged, written_once
 from strandflow.tables import table
 
 QUAL = 30
@@ -158,9 +158,9 @@ def loops_unrolled(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     reads, edges, paths = _laid(spark, d)
-    coverage = cut(placement.pair_coverage(placement.path_steps(paths), edges))
+    coverage = cut_large(placement.pair_coverage(placement.path_steps(paths), edges))
     kept = cleaning.delete_edges(edges, evidence.weak_branches(edges, coverage, most=0.3))
-    merged, moves = evidence.merged_edges(cut(kept), K)
+    merged, moves = evidence.merged_edges(cut_large(kept), K)
     return merged, moves, paths
 
 
@@ -178,7 +178,7 @@ def merged_read_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def plasmids_unwound(spark: SparkSession, d: str) -> DataFrame:
     reads, edges, paths = _laid(spark, d)
-    on = evidence.pair_edges(paths, edges, reads, K)
+    on = cut_large(evidence.pair_edges(paths, edges, reads, K))
     pairs = on.select("pair", "edge").distinct().groupBy("edge").agg(F.count(F.lit(1)).alias("pairs"))
     met = on.join(on.select("pair", "turned", F.col("edge").alias("e2")), ["pair", "turned"]).where("edge < e2").select(F.col("edge").alias("e1"), "e2", "pair").distinct()
     links = met.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +187,7 @@ def plasmids_unwound(spark: SparkSession, d: str) -> DataFrame:
 
 def lone_edges(spark: SparkSession, d: str) -> DataFrame:
     """Short edges of the merged graph that touch no other."""
-    return evidence.lone_edges(_merged(spark, d)[0], 105)
+    return evidence.lone_edges(cut_large(_merged(spark, d)[0]), 105)
 
 
 def planted_support(spark: SparkSession, d: str) -> DataFrame:
@@ -203,9 +203,9 @@ def unsupported_branches(spark: SparkSession, d: str) -> DataFrame:
 def line_stats(spark: SparkSession, d: str) -> DataFrame:
     """Lines through a bubble for every supplier: length over the cell, and pairs of reads on the line or its inverse."""
     reads, edges = _graph(spark, d, (0,))
-    paths = cut(placement.read_paths(placement.place_reads(reads, edges, K), edges))
-    found = cut(lines.find_lines(edges, lines.find_cells(edges)))
-    sizes = lines.line_lengths(found, edges)
+    paths = cut_large(placement.read_paths(placement.place_reads(reads, edges, K), edges))
+    found = cut_large(lines.find_lines(edges, cut_large(lines.find_cells(edges))))
+    sizes = sort_merged(lines.line_lengths(found, edges))
     return sizes.join(lines.line_pairs(found, edges, placement.path_steps(paths)), "line", "left").select("line", "len", "npairs")
 
 

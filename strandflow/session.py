@@ -53,7 +53,7 @@ def written_once(spark: SparkSession, key: tuple, make: Callable[[], tuple[DataF
     """
     key = (spark.sparkContext.applicationId, *key)
     if key not in _WRITTEN:
-        _WRITTEN[key] = tuple(cut(df) for df in make())
+        _WRITTEN[key] = tuple(cut_large(df) for df in make())
     return _WRITTEN[key]
 
 
@@ -71,4 +71,25 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     plan = out._jdf.queryExecution()
     if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= LARGEST_GUESS_BITS:
         return out
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
+    return _sizeless(out)
+
+
+def _sizeless(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
+def cut_large(df: DataFrame) -> DataFrame:
+    """``cut`` for tables that grow with the data, such as reads, edges and paths: no join broadcasts them.
+
+    The optimizer's guess takes what is exploded for as small as it was before, and the size measured at
+    run time is that of compressed rows, which lists of equal qualities make many times smaller than they
+    are. By either such tables went whole through the driver. Joins with them, or with what
+    projections, filters and aggregates make of them, are sorted merges.
+    """
+    return sort_merged(_sizeless(cut(df)))
+
+
+def sort_merged(df: DataFrame) -> DataFrame:
+    """df, whose next join is a sorted merge, never a broadcast."""
+    return df.hint("merge")

@@ -41,3 +41,14 @@ def test_checkpoints_forget_guessed_sizes(spark):
         df = cut(df.join(df.select(F.col("a")), "a"))
     assert df.count() == 100
     assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() <= max(LARGEST_GUESS_BITS, 64)
+
+
+def test_large_checkpoints_are_not_broadcast(spark):
+    """By the guess, or the compressed size, whole tables of reads and edges went through the driver."""
+    from strandflow.session import written_once
+
+    rows = spark.range(100).select(F.col("id").alias("a"), F.array_repeat(F.lit(30), 5).alias("q"))
+    df = written_once(spark, ("large, not broadcast",), lambda: (rows,))[0]
+    met = df.join(df.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+    assert len(met.collect()) == 100
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()

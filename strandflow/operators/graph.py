@@ -17,9 +17,10 @@ from strandflow.session import cut_large, sort_merged
 def oriented(kmers: DataFrame) -> DataFrame:
     """(node, pred, succ, palindrome): both strands of each canonical k-mer; a palindrome once."""
     rev = revcomp(F.col("kmer"))
-    fwd = kmers.select(F.col("kmer").alias("node"), "pred", "succ", (rev == F.col("kmer")).alias("palindrome"))
-    bwd = kmers.where(rev != F.col("kmer")).select(rev.alias("node"), complement_bits(F.col("succ")).alias("pred"), complement_bits(F.col("pred")).alias("succ"), F.lit(False).alias("palindrome"))
-    return fwd.unionByName(bwd)
+    fwd = F.struct(F.col("kmer").alias("node"), "pred", "succ", (rev == F.col("kmer")).alias("palindrome"))
+    bwd = F.struct(rev.alias("node"), complement_bits(F.col("succ")).alias("pred"), complement_bits(F.col("pred")).alias("succ"), F.lit(False).alias("palindrome"))
+    # one pass: a union would make the k-mers twice
+    return kmers.select(F.inline(F.when(rev == F.col("kmer"), F.array(fwd)).otherwise(F.array(fwd, bwd))))
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.dna import kmers_of
 from strandflow.operators.kmers import read_kmers
+from strandflow.session import spread
 
 
 def edge_kmers(edges: DataFrame, k: int) -> DataFrame:
@@ -43,6 +44,16 @@ def read_paths(parts: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def text_paths(reads: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(read_id, off, edges): as ``read_paths`` of ``place_reads``, but reads of one text are placed once.
+
+    Where a read lies depends on its letters alone. Ids must be unique.
+    """
+    texts = spread(reads.select("seq").distinct()).select(F.col("seq").alias("read_id"), "seq")
+    paths = read_paths(place_reads(texts, edges, k), edges).select(F.col("read_id").alias("seq"), "off", "edges")
+    return reads.select("read_id", "seq").join(paths, "seq").select("read_id", "off", "edges")
+
+
 def path_steps(paths: DataFrame) -> DataFrame:
     """(read_id, pos, edge)."""
     return paths.select("read_id", F.posexplode("edges").alias("pos", "edge"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandflow.operators import cleaning, evidence, graph, kmers, lines, placement
 from strandflow.plans.sequence_queries import _GRAPH, MIN_FREQ, READS, K, rc
 from strandflow.plans.structure_queries import far_cte
-from strandflow.session import cut_large, sort_merged, written_once
+from strandflow.session import cut_large, sort_merged, spread, written_once
 from strandflow.tables import table
 
 QUAL = 30
@@ -49,7 +49,8 @@ def _reads(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> DataFra
 
 
 def _circled(reads: DataFrame) -> DataFrame:
-    return graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(reads, K))), K)
+    """Edges, circles too; the graph does not ask how often a text or a k-mer occurs, so each text is cut up once."""
+    return graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(spread(reads.select("seq").distinct()), K))), K)
 
 
 def _graph(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +63,7 @@ def _graph(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> tuple[D
 def _laid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reads, edges, paths) of all kinds, built once a session."""
     reads, edges = _graph(spark, d)
-    return reads, edges, written_once(spark, ("planted paths", d), lambda: (placement.read_paths(placement.place_reads(reads, edges, K), edges),))[0]
+    return reads, edges, written_once(spark, ("planted paths", d), lambda: (placement.text_paths(reads, edges, K),))[0]
 
 
 def simple_bubbles(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +204,7 @@ def unsupported_branches(spark: SparkSession, d: str) -> DataFrame:
 def line_stats(spark: SparkSession, d: str) -> DataFrame:
     """Lines through a bubble for every supplier: length over the cell, and pairs of reads on the line or its inverse."""
     reads, edges = _graph(spark, d, (0,))
-    paths = cut_large(placement.read_paths(placement.place_reads(reads, edges, K), edges))
+    paths = cut_large(placement.text_paths(reads, edges, K))
     found = cut_large(lines.find_lines(edges, cut_large(lines.find_cells(edges))))
     sizes = sort_merged(lines.line_lengths(found, edges))
     return sizes.join(lines.line_pairs(found, edges, placement.path_steps(paths)), "line", "left").select("line", "len", "npairs")

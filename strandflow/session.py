@@ -90,6 +90,11 @@ def cut_large(df: DataFrame) -> DataFrame:
     return sort_merged(_sizeless(cut(df)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all shuffle partitions; few bytes that grow to many would else be gathered in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sort_merged(df: DataFrame) -> DataFrame:
     """df, whose next join is a sorted merge, never a broadcast."""
     return df.hint("merge")

@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "name",
     (
-        "chains_merged",
+        "chains_merged", "loops_unrolled",
     ),
 )
 def test_no_table_goes_through_the_driver(spark, folder, monkeypatch, name):

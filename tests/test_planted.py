@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "name",
     (
-        "chains_merged", "loops_unrolled", "line_stats", "path_violations", "planted_steps", "plasmids_unwound", "repeat_scores",
+        "chains_merged", "loops_unrolled", "line_stats", "path_violations", "planted_steps", "plasmids_unwound", "repeat_scores", "unrollable_loops",
     ),
 )
 def test_no_table_goes_through_the_driver(spark, folder, monkeypatch, name):

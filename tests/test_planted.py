@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     "name",
     (
         "chains_merged", "loops_unrolled", "line_stats", "path_violations", "planted_steps", "plasmids_unwound", "repeat_scores", "unrollable_loops",
-        "lone_edges", "merged_read_paths", "repeats_apart", "unsupported_branches", "canonical_repeats", "read_layout", "bubbles_popped",
+        "lone_edges", "merged_read_paths", "repeats_apart", "unsupported_branches", "canonical_repeats", "read_layout", "bubbles_popped", "planted_support",
     ),
 )
 def test_no_table_goes_through_the_driver(spark, folder, monkeypatch, name):

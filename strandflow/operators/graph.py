@@ -6,11 +6,11 @@ its (k-1)-mer. They do not depend on timing, partitioning or engine, and need no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.dna import kmers_of, revcomp
-from strandflow.operators.kmers import complement_bits
+from strandflow.operators.kmers import AT_BITS, complement_bits, placed_kmers
 from strandflow.session import cut_large, sort_merged
 
 
@@ -98,6 +98,43 @@ def unipaths(kmers: DataFrame) -> DataFrame:
     )
 
 
+def text_unipaths(texts: DataFrame, k: int) -> DataFrame:
+    """As ``unipaths`` of all k-mers of texts(seq), which are taken as they stand in a row on one text.
+
+    Each k-mer is left at one of its places. There neighbours that are linked make up a piece of a
+    path without any join, so only pieces are chained, of which there are a few for each text. What
+    stands at neighbouring places is a piece only where the k-mers are linked, so a place that two
+    texts share cuts pieces short and no more. A circle is turned to its least k-mer, as there.
+    """
+    at = F.col("at")
+    line, place, turned = F.shiftright(at, AT_BITS + 1), F.shiftright(at, 1).bitwiseAND(F.lit((1 << AT_BITS) - 1)), at.bitwiseAND(F.lit(1))
+    side = lambda back: F.when(turned == (0 if back else 1), -place).otherwise(place)
+    lies = lambda back: [(line * 2 + (1 - turned if back else turned)).alias("line"), side(back).alias("place")]
+    rev = revcomp(F.col("kmer"))
+    fwd = F.struct(F.col("kmer").alias("node"), "pred", "succ", (rev == F.col("kmer")).alias("palindrome"), *lies(False))
+    bwd = F.struct(rev.alias("node"), complement_bits(F.col("succ")).alias("pred"), complement_bits(F.col("pred")).alias("succ"), F.lit(False).alias("palindrome"), *lies(True))
+    nodes = placed_kmers(texts, k).select(F.inline(F.when(rev == F.col("kmer"), F.array(fwd)).otherwise(F.array(fwd, bwd))))
+    only = F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), (F.log2(F.col("succ")) + 1).cast("int"))
+    on = F.when((F.bit_count("succ") == 1) & ~F.col("palindrome"), F.concat(F.substring("node", 2, k - 1), only))
+    able = (F.bit_count("pred") == 1) & ~F.col("palindrome")
+    w = Window.partitionBy("line").orderBy("place", "node")
+    rows = nodes.select("line", "place", "node", on.alias("on"), able.alias("able"))
+    rows = rows.withColumn("fresh", F.when(F.col("able") & (F.lag("on").over(w) == F.col("node")), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = rows.groupBy("line", "run").agg(F.array_sort(F.collect_list(F.struct("place", "node", "able", "on"))).alias("s"))
+    last = F.array_join(F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))), lambda x: F.substring(x["node"], -1, 1)), "")
+    pieces = cut_large(steps.select(F.col("s")[0]["node"].alias("node"), F.concat(F.col("s")[0]["node"], last).alias("seq"), F.col("s")[0]["able"].alias("able"), F.element_at("s", -1)["on"].alias("on"), F.size("s").alias("n")))
+    link = pieces.where("on is not null").select(F.col("node").alias("u"), F.col("on").alias("v")).join(pieces.where("able").select(F.col("node").alias("v")), "v", "left_semi")
+    joined = (
+        chains(pieces.select("node"), link).join(pieces.select("node", "seq", "n"), "node").groupBy("head", "circle").agg(F.array_sort(F.collect_list(F.struct("rank", "seq"))).alias("s"), F.sum("n").cast("int").alias("n_kmers"))
+    )
+    tails = F.transform("s", lambda x, i: F.when(i == 0, x["seq"]).otherwise(F.substring(x["seq"], F.lit(k), F.length(x["seq"]))))
+    whole = joined.select("head", F.array_join(tails, "").alias("seq"), "n_kmers", "circle")
+    least = F.when(F.col("circle"), F.array_min(kmers_of(F.col("seq"), k))).otherwise(F.col("head"))
+    twice = F.concat(F.substring(F.col("seq"), F.lit(1), F.col("n_kmers")), "seq")
+    seq = F.when(F.col("circle"), F.substring(twice, F.instr("seq", F.col("edge")), F.length("seq"))).otherwise(F.col("seq"))
+    return whole.withColumn("edge", least).select("edge", seq.alias("seq"), "n_kmers", "circle")
+
+
 def graph_edges(paths: DataFrame, k: int) -> DataFrame:
     """(edge, src, dst, seq, n_kmers, circle, inv): unipaths as edges between their end (k-1)-mers.
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from strandflow.functions.dna import canonical, kmers_of, revcomp
 from strandflow.session import cut_large
 
+#: Bits of ``at`` for the place on a read; longer reads count anew.
+AT_BITS = 20
+
 
 def clean_reads(oreads: DataFrame) -> DataFrame:
     """(read_id, seq, qual, sample): each read once, N read as A, unreadable rows left out.
@@ -60,22 +63,40 @@ def complement_bits(bits: Column) -> Column:
     return out
 
 
-def context_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, pred, succ): canonical k-mers with the bits of the letters before and after, one row each time."""
+def context_kmers(reads: DataFrame, k: int, placed: bool = False) -> DataFrame:
+    """(kmer, pred, succ): canonical k-mers with the bits of the letters before and after, one row each time.
+
+    placed: also ``at``, where it stands: ``AT_BITS`` bits of the place on the read, one for a k-mer that
+    is turned there, and above them what is left of a hash of the read. Unlike reads may share it.
+    """
     seq = F.col("seq")
     around = F.transform(
         F.sequence(F.lit(1), F.length(seq) - (k - 1)),
-        lambda i: F.struct(F.substring(seq, i, F.lit(k)).alias("fwd"), F.when(i > 1, F.substring(seq, i - 1, F.lit(1))).alias("b"), F.substring(seq, i + k, F.lit(1)).alias("a")),
+        lambda i: F.struct(
+            F.substring(seq, i, F.lit(k)).alias("fwd"), F.when(i > 1, F.substring(seq, i - 1, F.lit(1))).alias("b"), F.substring(seq, i + k, F.lit(1)).alias("a"), *([i.cast("bigint").alias("i")] if placed else [])
+        ),
     )
-    rows = reads.where(F.length("seq") >= k).select(F.inline(around)).select("fwd", revcomp(F.col("fwd")).alias("rev"), base_bit(F.col("b")).alias("b"), base_bit(F.col("a")).alias("a"))
+    text = [F.shiftleft(F.xxhash64(seq), AT_BITS + 1).alias("text")] if placed else []
+    own = ["text", "i"] if placed else []
+    rows = reads.where(F.length("seq") >= k).select(*text, F.inline(around)).select("fwd", revcomp(F.col("fwd")).alias("rev"), base_bit(F.col("b")).alias("b"), base_bit(F.col("a")).alias("a"), *own)
     turned = F.col("rev") < F.col("fwd")
+    at = F.col("text").bitwiseOR(F.shiftleft(F.col("i").bitwiseAND(F.lit((1 << AT_BITS) - 1)), 1)).bitwiseOR(turned.cast("bigint"))
     return rows.select(
         F.least("fwd", "rev").alias("kmer"),
         F.when(turned, complement_bits(F.col("a"))).otherwise(F.col("b")).alias("pred"),
         F.when(turned, complement_bits(F.col("b"))).otherwise(F.col("a")).alias("succ"),
+        *([at.alias("at")] if placed else []),
     )
 
 
+def placed_kmers(texts: DataFrame, k: int) -> DataFrame:
+    """(kmer, pred, succ, at): all canonical k-mers of texts(seq), contexts joined, each with one of its places.
+
+    As none is left out, every neighbour that a bit names is among them: there is nothing to prune.
+    """
+    return context_kmers(texts, k, placed=True).groupBy("kmer").agg(F.bit_or("pred").alias("pred"), F.bit_or("succ").alias("succ"), F.min("at").alias("at"))
+
+
 def count_kmers(rows: DataFrame) -> DataFrame:
     """(kmer, n, pred, succ): occurrences summed, contexts joined."""
     return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.bit_or("pred").alias("pred"), F.bit_or("succ").alias("succ"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import cleaning, evidence, graph, kmers, lines, placement
+from strandflow.operators import cleaning, evidence, graph, lines, placement
 from strandflow.plans.sequence_queries import _GRAPH, MIN_FREQ, READS, K, rc
 from strandflow.plans.structure_queries import far_cte
 from strandflow.session import cut_large, sort_merged, spread, written_once
@@ -50,7 +50,7 @@ def _reads(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> DataFra
 
 def _circled(reads: DataFrame) -> DataFrame:
     """Edges, circles too; the graph does not ask how often a text or a k-mer occurs, so each text is cut up once."""
-    return graph.graph_edges(graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(spread(reads.select("seq").distinct()), K))), K)
+    return graph.graph_edges(graph.text_unipaths(spread(reads.select("seq").distinct()), K), K)
 
 
 def _graph(spark: SparkSession, d: str, kinds: tuple[int, ...] = ALL) -> tuple[DataFrame, DataFrame]:

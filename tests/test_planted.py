@@ -1,5 +1,7 @@
 """Queries over planted graphs send no table through the driver, at Spark's own broadcast bound."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,25 @@ def test_both_strands_are_made_in_one_pass(spark, rows):
     both = graph.oriented(table)
     assert rows(both) == [("AACC", 1, 8, False), ("ACGT", 2, 4, True), ("GGTT", 1, 8, False)]
     assert "Union" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_texts_give_the_same_unipaths(spark, rows):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ACGT") for _ in range(90))
+    ring = "".join(rng.choice("ACGT") for _ in range(31))
+    texts = [long[i : i + 40] for i in range(0, 51, 7)] + [long[:30] + "T" + long[30:50], long[20:70][::-1].translate(str.maketrans("ACGT", "TGCA")), ring * 3, ring[5:] + ring[:20], "A" * 12, "ACG" * 9, "ACGTACGTACGT", "AACGTT", "TTNACGGAC", "ACGT", None]
+    texts += ["".join(rng.choice("AC") for _ in range(14)) for _ in range(6)]
+    table = spark.createDataFrame([(t,) for t in texts], "seq string")
+    for k in (6, 12):
+        want = graph.unipaths(kmers.prune_adjacencies(kmers.kmer_table(table, k)))
+        got = graph.text_unipaths(table, k)
+        assert got.dtypes == want.dtypes
+        assert rows(got) == rows(want)
+        assert any(r[3] for r in rows(got))
+
+
+def test_only_pieces_of_texts_are_chained(spark, folder, monkeypatch):
+    chained, chains = [], graph.chains
+    monkeypatch.setattr(graph, "chains", lambda nodes, link: (chained.append(nodes.count()), chains(nodes, link))[1])
+    edges = planted_queries._circled(planted_queries._reads(spark, folder))
+    assert chained[0] * 5 < edges.selectExpr("sum(n_kmers)").first()[0]
